@@ -8,6 +8,7 @@ the ids of words it has met, in a table of fixed size.
 
 from __future__ import annotations
 
+import os
 import re
 import sys
 import types
@@ -28,6 +29,7 @@ class WordTokens:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.key = np.zeros(SLOTS, U)
         self.size = np.zeros(SLOTS, np.int16)
