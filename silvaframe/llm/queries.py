@@ -91,10 +91,10 @@ QUERIES = {f.__name__: f for f in (op1_mixing, op2_chat_formatting, op3_language
 ORACLE_SQL = {
     "op6_exact_topk": """
 WITH usable AS (
-    SELECT vec_id, list_transform(embedding, x -> floor(64 * x::DOUBLE)) AS v
+    SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v
     FROM embeddings
     WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-      AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
     SELECT q.vec_id AS query_id, d.vec_id, list_dot_product(q.v, d.v)::BIGINT AS score
     FROM usable q JOIN usable d ON q.vec_id % 20 = 0 AND q.vec_id <> d.vec_id
