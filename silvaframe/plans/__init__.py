@@ -1,0 +1 @@
+"""Named SQL plans over the relations of a forest."""
