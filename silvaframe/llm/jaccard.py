@@ -1,17 +1,15 @@
 """Exact n-gram Jaccard self-join by token-group matrices.
 
-1. Signatures. A text's shingles are cut by hash range into slices. Two sets
-   of sizes a and b that reach the threshold differ in at most
-   H = (100 - t) (a + b) / (100 + t) shingles, so of more than H non-empty
-   slices at least one is the same in both. Each set gives the hash of every
-   slice; the number of slices follows from a size class, and a set also gives
-   slices for the next class if a partner there could qualify. A set that has
-   too few non-empty slices also gives its empty ones, under a mark that only
-   such sets share. So texts without an equal slice can't be linked.
-2. Families. Texts with an equal slice are tied to one of them (a star, never
-   all pairs: first within a task, then across tasks), and the components of
-   these ties are families of similar texts. Slices hold several shingles, so a
-   passage that many texts share doesn't tie them unless it fills a slice.
+1. Prefixes. Tokens have one total order: rare ones first. Two sets that reach
+   the threshold share a token among the first ``n - ceil(t n) + 1`` of each.
+   How often a token occurs is counted for a fixed part of the tokens, chosen
+   by hash: those that occur once come first (they can't be shared, so they
+   need not be sent back), then the others of that part by count, then the
+   rest by hash. A text that has enough tokens of its own is done here.
+2. Families. Texts that share a prefix token are tied to one of them (a star,
+   never all pairs), and the components of these ties are families of similar
+   texts. A passage that many texts share comes late in the order, so it ties
+   only texts that have little else.
 3. Token-group matrix. A family is cut into blocks of bounded size; a pair of
    blocks is one unit of work. Within it similar texts form groups; the matrix
    holds each group's token union. For each text, postings of its tokens count
@@ -41,25 +39,20 @@ from .scratch import written
 BLOCK = 2048
 #: Texts whose token union is one row of the matrix.
 GROUP = 32
-#: Slice signatures that a task gathers before it writes them out.
-FLUSH = 4_000_000
+#: Tokens that a task gathers before it sends them out.
+FLUSH = 2_000_000
 #: Bits of the filter that says which texts belong to a family of two or more.
 FILTER_BITS = 1 << 24
 
 
-def size_classes(largest: int) -> np.ndarray:
-    """Lower bounds of the size classes 1, 2, 3, 4, 6, 9, ... up to above ``largest``."""
-    bounds = [1]
-    while bounds[-1] <= largest:
-        bounds.append(max(bounds[-1] + 1, bounds[-1] * 3 // 2))
-    return np.array(bounds, np.int64)
+def prefix_size(n, percent: int):
+    """Tokens of a set of n that must hold one of any partner's."""
+    return n - -(-percent * n // 100) + 1
 
 
-def class_slices(bounds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(differences possible, slices) of each class but the last bound."""
-    top = bounds[1:] - 1
-    differ = (100 - percent) * 2 * top // (100 + percent)
-    return differ, np.where(differ > 0, (differ + 1) * 11 // 10 + 2, 1)
+def counted(tokens: np.ndarray, percent: int) -> np.ndarray:
+    """Which tokens are counted: twice the share that a prefix has, by hash."""
+    return (tokens & U(7)) < U(min(8, -(-16 * (100 - percent) // 100)))
 
 
 def set_hash(tokens: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -72,55 +65,6 @@ def set_hash(tokens: np.ndarray, count: np.ndarray) -> np.ndarray:
     return out
 
 
-def signatures(tokens: np.ndarray, count: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, set number) of the slices of each set."""
-    if not len(tokens):
-        return np.zeros(0, U), np.zeros(0, np.int64)
-    bounds = size_classes(int(count.max()) * 100 // percent + 1)
-    differ, slices = class_slices(bounds, percent)
-    own = np.searchsorted(bounds, count, side="right") - 1
-    sigs, sets = [], []
-    level = own.copy()
-    while True:
-        ok = (count > 0) & (level < len(slices)) & (bounds[np.minimum(level, len(bounds) - 1)] * percent <= count * 100)
-        use = ok & (differ[np.minimum(level, len(slices) - 1)] > 0)
-        if not ok.any():
-            break
-        if use.any():
-            s, d = _slices(tokens, count, use, level, differ, slices)
-            sigs.append(s)
-            sets.append(d)
-        level = np.where(ok, level + 1, len(slices))
-    return (np.concatenate(sigs), np.concatenate(sets)) if sigs else (np.zeros(0, U), np.zeros(0, np.int64))
-
-
-def _slices(tokens, count, use, level, differ, slices):
-    of = np.repeat(np.arange(len(count)), count)
-    pick = use[of]
-    tok, of = tokens[pick], of[pick]
-    m = slices[np.minimum(level, len(slices) - 1)].astype(U)
-    cut = ((tok >> U(32)) * m[of]) >> U(32)
-    new = np.ones(len(tok), bool)
-    new[1:] = (cut[1:] != cut[:-1]) | (of[1:] != of[:-1])
-    at = np.flatnonzero(new)
-    total = np.add.reduceat(mix(tok ^ U(0xD1342543DE82EF95)), at)
-    sets, part = of[at], cut[at]
-    tag = mix(level.astype(U) + U(1 << 20))
-    sig = mix(total ^ mix(tag[sets] + part))
-    filled = np.bincount(sets, minlength=len(count))
-    weak = np.flatnonzero(use & (filled <= differ[np.minimum(level, len(slices) - 1)]))
-    if len(weak):
-        more_s, more_d = [sig], [sets]
-        for d in weak.tolist():
-            mine = sets == d
-            empty = np.setdiff1d(np.arange(int(m[d]), dtype=U), part[mine])
-            extra = np.concatenate((sig[mine] ^ U(0xABCDEF12345), mix(mix(tag[d] + empty) ^ U(0x777))))
-            more_s.append(extra)
-            more_d.append(np.full(len(extra), d))
-        sig, sets = np.concatenate(more_s), np.concatenate(more_d)
-    return sig, sets
-
-
 def _sets(column, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
     values, breaks = byte_values(), spaces()
     for data, starts, ends, lo, hi in chunks(column):
@@ -128,49 +72,37 @@ def _sets(column, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
         yield *shingle_sets(words, doc, hi - lo, n), lo, hi
 
 
-def _stars(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Ties of nodes with the first node of their signature, and that node of each signature."""
-    order = np.lexsort((node, sig))
-    sig, node = sig[order], node[order]
-    first = np.ones(len(sig), bool)
-    first[1:] = sig[1:] != sig[:-1]
-    at = np.flatnonzero(first)
-    head = np.repeat(node[at], np.diff(np.append(at, len(sig))))
-    tie = head != node
-    a, b = node[tie], head[tie]
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return a[new], b[new], sig[at], node[at]
+_BLOBS = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
+_BLOBS_SQL = "bucket int, kind int, a binary, b binary, c binary"
+#: Kinds of blobs: counted tokens, sizes, prefix tokens that are not counted, shared tokens, prefix tokens.
+COUNTED, SIZES, REST, SHARED, PREFIX = range(5)
 
 
-_SIGNED = pa.schema([("bucket", pa.int32()), ("sig", pa.binary()), ("node", pa.binary()), ("a", pa.int64()), ("b", pa.int64())])
+def _dealt(kind: int, key: np.ndarray, buckets: int, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows dealt to buckets by the high bits of ``key``, each bucket's as one blob a column."""
+    place = ((key >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
+    order = np.argsort(place, kind="stable")
+    columns = [c[order] for c in columns]
+    at = np.searchsorted(place[order], np.arange(buckets + 1))
+    full = np.flatnonzero(at[1:] > at[:-1])
+    for lo in range(0, len(full), 64):
+        some = full[lo : lo + 64]
+        blobs = [pa.array([c[at[i] : at[i + 1]].tobytes() for i in some], pa.binary()) for c in columns]
+        blobs += [pa.nulls(len(some), pa.binary())] * (3 - len(columns))
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), kind, np.int32)), *blobs], schema=_BLOBS)
 
 
 def _sign(n: int, percent: int, buckets: int):
+    """Counted tokens of each text, its size and, if those are too few, what else its prefix has."""
+
     def run(batches):
         held: list[tuple[np.ndarray, np.ndarray]] = []
         seen: set[int] = set()
 
         def flush():
-            if not held:
-                return
-            a, b, sig, node = _stars(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
+            tokens, nodes = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            if len(a):
-                k = len(a)
-                yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], schema=_SIGNED)
-            place = ((sig >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
-            at = np.searchsorted(place, np.arange(buckets + 1))
-            full = np.flatnonzero(at[1:] > at[:-1])
-            for lo in range(0, len(full), 64):
-                some = full[lo : lo + 64]
-                k = len(some)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(some.astype(np.int32)), pa.array([sig[at[i] : at[i + 1]].tobytes() for i in some], pa.binary()), pa.array([node[at[i] : at[i + 1]].tobytes() for i in some], pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())],
-                    schema=_SIGNED,
-                )
+            yield from _dealt(COUNTED, tokens, buckets, tokens, nodes)
 
         waiting = 0
         for batch in batches:
@@ -178,42 +110,118 @@ def _sign(n: int, percent: int, buckets: int):
                 h = set_hash(tokens, count)
                 new = np.zeros(len(h), bool)
                 for i, x in enumerate(h.tolist()):
-                    if x not in seen:
+                    if x and x not in seen:
                         seen.add(x)
                         new[i] = True
                 if len(seen) > 1_000_000:
                     seen.clear()
-                keep = np.repeat(new, count)
-                sig, of = signatures(tokens[keep], np.where(new, count, 0), percent)
-                held.append((sig, h[of]))
-                waiting += len(sig)
+                of = np.repeat(np.arange(len(count)), count)
+                keep = new[of]
+                tokens, of = tokens[keep], of[keep]
+                some = counted(tokens, percent)
+                held.append((tokens[some], h[of[some]]))
+                waiting += int(some.sum())
+                n_some = np.bincount(of[some], minlength=len(count))
+                lack = np.where(new, prefix_size(count, percent) - n_some, 0)
+                rest, of = tokens[~some], of[~some]
+                first = np.arange(len(of)) - np.searchsorted(of, of) < lack[of]  # tokens of a set are in order of hash
+                if first.any():
+                    yield from _dealt(REST, rest[first], buckets, rest[first], h[of[first]])
+                if new.any():
+                    yield from _dealt(SIZES, h[new], buckets, h[new], (count[new].astype(U) << U(32)) | n_some[new].astype(U))
                 if waiting > FLUSH:
                     yield from flush()
                     waiting = 0
-        yield from flush()
+        if held:
+            yield from flush()
 
     return run
 
 
-def _tie(batches):
-    """Ties across tasks, one bucket of signatures at a time; rows arrive sorted by bucket."""
-    now, sigs, nodes = None, [], []
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _buckets(batches, kinds: tuple[int, ...], passed: list):
+    """(bucket, columns of each kind) one bucket at a time; batches of other kinds are put into ``passed``."""
+    now, parts = None, {}
 
-    def ties():
-        a, b, _, _ = _stars(np.concatenate(sigs), np.concatenate(nodes))
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], schema=schema)
+    def joined():
+        return {k: [np.concatenate([np.frombuffer(x.as_buffer(), U) for x in c]) for c in zip(*rows, strict=True)] for k, rows in parts.items()}
 
     for batch in batches:
-        for bucket, sig, node in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+        mine = np.isin(batch.column(1).to_numpy(), kinds)
+        if not mine.all():
+            passed.append(batch.filter(pa.array(~mine)))
+            batch = batch.filter(pa.array(mine))
+        for bucket, kind, *blobs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), *(batch.column(i) for i in (2, 3, 4)), strict=True):
             if bucket != now:
-                if sigs:
-                    yield ties()
-                now, sigs, nodes = bucket, [], []
-            sigs.append(np.frombuffer(sig.as_buffer(), U))
-            nodes.append(np.frombuffer(node.as_buffer(), U))
-    if sigs:
-        yield ties()
+                if parts:
+                    yield joined()
+                now, parts = bucket, {}
+            parts.setdefault(kind, []).append([x for x in blobs if x.is_valid])
+    if parts:
+        yield joined()
+
+
+def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[new], b[new]
+
+
+def _share(buckets: int):
+    """Counted tokens that more than one text has, sent to the texts with their count."""
+
+    def run(batches):
+        passed: list[pa.RecordBatch] = []
+        for found in _buckets(batches, (COUNTED,), passed):
+            token, node = _distinct(*found[COUNTED])
+            _, back, often = np.unique(token, return_inverse=True, return_counts=True)
+            often = often[back]
+            more = often > 1
+            yield from _dealt(SHARED, node[more], buckets, token[more], node[more], often[more].astype(U))
+            yield from passed
+            passed.clear()
+        yield from passed
+
+    return run
+
+
+def _prefix(percent: int, buckets: int):
+    """Shared tokens that fall into their text's prefix."""
+
+    def run(batches):
+        passed: list[pa.RecordBatch] = []
+        for found in _buckets(batches, (SIZES, SHARED), passed):
+            if SHARED in found:
+                token, node, often = found[SHARED]
+                known, size = _distinct(*found[SIZES])
+                order = np.lexsort((token, often, node))
+                token, node = token[order], node[order]
+                at = np.searchsorted(known, node)
+                rank = np.arange(len(node)) - np.searchsorted(node, node)
+                shared = np.bincount(at, minlength=len(known))
+                n, n_counted = (size >> U(32)).astype(np.int64), (size & U(0xFFFFFFFF)).astype(np.int64)
+                keep = (n_counted - shared)[at] + rank < prefix_size(n, percent)[at]
+                if keep.any():
+                    yield from _dealt(PREFIX, token[keep], buckets, token[keep], node[keep])
+            yield from passed
+            passed.clear()
+        yield from passed
+
+    return run
+
+
+def _tie(batches):
+    """Each text tied to the first text with the same prefix token."""
+    for found in _buckets(batches, (REST, PREFIX), []):
+        token, node = _distinct(*(np.concatenate(x) for x in zip(*found.values(), strict=True)))
+        first = np.ones(len(token), bool)
+        first[1:] = token[1:] != token[:-1]
+        at = np.flatnonzero(first)
+        head = np.repeat(node[at], np.diff(np.append(at, len(token))))
+        tie = head != node
+        a, b = _distinct(node[tie], head[tie])
+        yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
 
 def _spot(h: np.ndarray) -> np.ndarray:
@@ -289,6 +297,8 @@ def matrix_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, pe
     size = np.array([len(s) for s in sets])
     classes = _Classes(n)
     members = np.flatnonzero(right)
+    if not len(members) or not left.any():
+        return classes.up, np.zeros(2, int)
     members = members[np.lexsort((members, size[members], [int(sets[i][0]) for i in members]))]
     flat = np.concatenate([sets[i] for i in members])
     place = np.repeat(np.arange(len(members)), size[members])
@@ -381,9 +391,10 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col("text").cast("string").alias("text"))
-    signed = texts.mapInArrow(_sign(n, percent, parts * 4), "bucket int, sig binary, node binary, a long, b long")
-    signed = signed.repartition(parts, "bucket", F.coalesce(F.col("a"), F.lit(0))).sortWithinPartitions("bucket")
-    ties = written(signed.mapInArrow(_across, "a long, b long"), "ties")
+    blobs = texts.mapInArrow(_sign(n, percent, parts), _BLOBS_SQL)
+    for step in (_share(parts), _prefix(percent, parts)):
+        blobs = blobs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(step, _BLOBS_SQL)
+    ties = written(blobs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_tie, "a long, b long"), "ties")
     family = written(components(ties, "families"), "family")
     masks = family.select("node").coalesce(16).mapInArrow(_bits, "bits binary").collect()
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
@@ -407,22 +418,3 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     least = keyed.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("k")).where("k > 1").select("class", "least")
     return keyed.join(least, "class", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
-
-def _across(batches):
-    """Passes on ties made within tasks and ties signatures across tasks."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def rest():
-        for batch in batches:
-            own = np.asarray(batch.column(0).is_null())
-            if own.any():
-                done.append(pa.RecordBatch.from_arrays([batch.column(3).filter(pa.array(own)), batch.column(4).filter(pa.array(own))], schema=schema))
-            if not own.all():
-                yield batch.filter(pa.array(~own))
-
-    done: list[pa.RecordBatch] = []
-    for out in _tie(rest()):
-        yield from done
-        done.clear()
-        yield out
-    yield from done

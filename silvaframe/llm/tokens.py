@@ -18,7 +18,7 @@ import numpy as np
 from .kernels import U, byte_values, running, span_hash, word_spans
 
 #: Words a worker remembers, and ids of one that the table holds.
-SLOTS, INLINE = 1 << 21, 10
+SLOTS, INLINE = 1 << 20, 8
 #: Words that are one unit for the tokenizer: letters only, or signs only, without the apostrophe.
 ONE_UNIT = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[!-&(-/:-@\[-`{-~]+")
 
