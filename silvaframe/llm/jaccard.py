@@ -32,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .components import components
-from .kernels import U, byte_values, chunks, mix, shingle_sets, spaces, word_hashes
-from .scratch import written
+from .kernels import U, byte_values, chunks, lean, mix, shingle_sets, spaces, word_hashes
+from .scratch import text_batches, written
 
 #: Texts of one family that one unit of work holds, twice.
 BLOCK = 2048
@@ -389,19 +389,20 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     have different texts each row has its own class. Other columns are ignored.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col("text").cast("string").alias("text"))
-    blobs = texts.mapInArrow(_sign(n, percent, parts), _BLOBS_SQL)
+    blobs = texts.mapInArrow(lean(_sign(n, percent, parts)), _BLOBS_SQL)
     for step in (_share(parts), _prefix(percent, parts)):
-        blobs = blobs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(step, _BLOBS_SQL)
-    ties = written(blobs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_tie, "a long, b long"), "ties")
+        blobs = blobs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(step), _BLOBS_SQL)
+    ties = written(blobs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(_tie), "a long, b long"), "ties")
     family = written(components(ties, "families"), "family")
-    masks = family.select("node").coalesce(16).mapInArrow(_bits, "bits binary").collect()
+    masks = family.select("node").coalesce(16).mapInArrow(lean(_bits), "bits binary").collect()
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
     for row in masks:
         bits |= np.frombuffer(row.bits, np.uint8)
     held = spark.sparkContext.broadcast(bits.tobytes())
-    rows = written(docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(_measured(n, held), "doc_id long, n_shingles long, h long, tokens binary"), "rows")
+    rows = written(docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(lean(_measured(n, held)), "doc_id long, n_shingles long, h long, tokens binary"), "rows")
 
     blocks = family.groupBy("root").agg(F.count(F.lit(1)).alias("k")).select("root", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
     member = family.join(blocks, "root").select("node", F.col("root").alias("family"), "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"))
@@ -410,7 +411,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     units = found.select("family", "h", "tokens", "block", (F.col("blocks") > 1).alias("split"), other).select("family", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "h", "tokens", "block", "split")
     units = units.repartition(parts, "family", "x", "y").sortWithinPartitions("family", "x", "y")
-    local = written(units.mapInArrow(_open(percent), "h long, root long, family long, split boolean"), "local")
+    local = written(units.mapInArrow(lean(_open(percent)), "h long, root long, family long, split boolean"), "local")
     split = components(local.where("split and h <> root").select(F.col("h").alias("a"), F.col("root").alias("b")), "split")
     classes = local.where("not split and h <> root").select(F.col("h").alias("node"), "root").unionByName(split.where("node <> root"))
 

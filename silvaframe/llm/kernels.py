@@ -6,7 +6,8 @@ by array operations over whole chunks, so cost is a few nanoseconds a byte.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,18 @@ def non_letters() -> np.ndarray:
     return table
 
 
+def lean(run: Callable) -> Callable:
+    """``run`` over a task's batches; afterwards the worker, which waits for its next task, gives free memory back."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return wrapped
+
+
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -61,7 +74,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"][:n], _POWERS["down"]
 
 
-def chunks(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int, int]]:
+def chunks(column: pa.Array, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int, int]]:
     """(bytes, starts, ends, first row, row after the last) of runs of whole texts.
 
     A run has at most ``most`` bytes unless one text alone has more. Null

@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .kernels import chunks
-from .scratch import written
+from .kernels import chunks, lean
+from .scratch import text_batches, written
 from .tokens import _counts, worker_tokens
 
 #: Tokens of a sequence; patterns of three lengths that the fit may use.
@@ -162,7 +162,7 @@ def _pieces(path: str, length: int, end: int):
         part = TaskContext.get().partitionId()
         seen = np.zeros(length + 1, np.int64)
         for batch in batches:
-            for data, starts, ends, lo, hi in chunks(batch.column(0), 1 << 21):
+            for data, starts, ends, lo, hi in chunks(batch.column(0), 1 << 19):
                 ids, count = encode(data, starts, ends)
                 flat = np.insert(ids, np.cumsum(count), np.uint32(end)).astype("<u4")
                 count = count + 1
@@ -216,8 +216,9 @@ def packed(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = 0,
     without gaps, and the pieces of a sequence lie end to end from offset 0.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     texts = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
-    pieces = written(texts.mapInArrow(_pieces(tokenizer, length, end), _PIECES), "pieces")
+    pieces = written(texts.mapInArrow(lean(_pieces(tokenizer, length, end)), _PIECES), "pieces")
     counts = written(pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")), "lengths")
     histogram = np.zeros(length + 1, np.int64)
     for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():
@@ -228,4 +229,4 @@ def packed(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = 0,
     small = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), *(["ids"] if with_ids else []), "part", "local")
     ranked = small.join(ahead, (F.col("length") == F.col("of")) & (F.col("part") == F.col("in_part"))).select("doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else []), (F.col("local") + F.col("ahead")).alias("rank"))
     columns = "doc_id long, piece int, start long, length long, ids_crc32 long, " + ("ids binary, " if with_ids else "") + "sequence_id long, offset long"
-    return ranked.mapInArrow(_place(table), columns)
+    return ranked.mapInArrow(lean(_place(table)), columns)

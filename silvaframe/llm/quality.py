@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .kernels import byte_values, chunks, running, shingle_sets, spaces, span_hash, word_spans
+from .kernels import byte_values, chunks, lean, running, shingle_sets, spaces, span_hash, word_spans
 from .sample import labelled, with_text
 from .scratch import written
 
@@ -144,7 +144,7 @@ class QualityModel:
         rng = np.random.default_rng(seed)
         shape = (mean, scale, rng.standard_normal((len(NAMES), FEATURES)) / np.sqrt(len(NAMES) / 2), rng.random(FEATURES) * 2 * np.pi)
         learn = fit.where(~F.col("calibrate")).select("stats", "label")
-        sums = sum(np.frombuffer(r.sums).reshape(FEATURES + 1, FEATURES + 2) for r in learn.mapInArrow(_normal(*shape), "sums binary").collect())
+        sums = sum(np.frombuffer(r.sums).reshape(FEATURES + 1, FEATURES + 2) for r in learn.mapInArrow(lean(_normal(*shape)), "sums binary").collect())
         n = max(1.0, sums[0, 0])
         left = sums[:, :-1] + RIDGE * np.sqrt(n) / 10 * np.diag([1e-6] + [1.0] * FEATURES)
         weights = np.linalg.solve(left, sums[:, -1])
@@ -167,7 +167,7 @@ class QualityModel:
                     raw = features(_matrix(batch.column(1)), *shape) @ weights
                     yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.interp(raw, x, y))], names=["doc_id", "score"])
 
-        return measured.mapInArrow(run, "doc_id long, score double")
+        return measured.mapInArrow(lean(run), "doc_id long, score double")
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -176,4 +176,4 @@ def measured(docs: DataFrame) -> DataFrame:
     Null and wordless texts have zeros throughout. Null and repeated doc_ids
     are kept; other columns are ignored; an empty table gives an empty one.
     """
-    return written(with_text(docs).mapInArrow(_measure, "doc_id long, stats array<double>"), "stats")
+    return written(with_text(docs).mapInArrow(lean(_measure), "doc_id long, stats array<double>"), "stats")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .scratch import text_batches
+
 
 def held_out(doc_id: str = "doc_id") -> Column:
     """Whether a document is kept from training: crc32 of its id as text, modulo 3, is 1. Null ids are not."""
@@ -26,6 +28,7 @@ def labelled(labels: DataFrame, label: str, rows: int) -> DataFrame:
 
 
 def with_text(docs: DataFrame, *more: str) -> DataFrame:
+    text_batches(docs.sparkSession)
     return docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), *more)
 
 

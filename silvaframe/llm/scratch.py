@@ -40,6 +40,17 @@ def _remove_local(path: str) -> None:
     shutil.rmtree(path, ignore_errors=True)
 
 
+#: Rows and bytes of an Arrow batch of texts; both sides of a Python task hold one whole.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "4194304"}
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches for this session, unless it has sizes of its own."""
+    for key, size in BATCH.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, size)
+
+
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back."""
     spark = df.sparkSession

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .kernels import U, byte_values, chunks, mix, non_letters, running, shingle_sets, span_hash, word_spans
+from .kernels import U, byte_values, chunks, lean, mix, non_letters, running, shingle_sets, span_hash, word_spans
 from .sample import labelled, with_text
 
 #: Labelled documents of the fit, at most about.
@@ -184,7 +184,7 @@ class ToxicityModel:
         spark = docs.sparkSession
         sample = labelled(labels, "toxic", rows)
         texts = with_text(docs).join(F.broadcast(sample), F.col("doc_id") == F.col("sample_id")).select("text", "label", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(FOLDS)).cast("int").alias("fold"))
-        once = texts.mapInArrow(_gather, "least long, label int, fold int, units binary").groupBy("least", "label").agg(F.min("units").alias("units"), F.min("fold").alias("fold")).persist()
+        once = texts.mapInArrow(lean(_gather), "least long, label int, fold int, units binary").groupBy("least", "label").agg(F.min("units").alias("units"), F.min("fold").alias("fold")).persist()
         n = np.zeros((FOLDS, 2))
         for r in once.groupBy("label", "fold").count().collect():
             n[r.fold, r.label] = r["count"]
@@ -193,7 +193,7 @@ class ToxicityModel:
             share = n[:, 1].sum() / n.sum() if n.sum() else 0.1
             share = min(max(share, 0.01), 0.99)
             return cls(np.zeros(0, U), np.zeros(0), 1.0, np.array([math.log(share / (1 - share)), 0.0, 0.0]))
-        counts = once.mapInArrow(_count, "unit long, fold int, toxic long, other long").groupBy("unit")
+        counts = once.mapInArrow(lean(_count), "unit long, fold int, toxic long, other long").groupBy("unit")
         sums = [F.sum(F.when(F.col("fold") == f, F.col(c)).otherwise(0)).alias(f"{c}{f}") for c in ("toxic", "other") for f in range(FOLDS)]
         got = counts.agg(*sums).where(sum(F.col(f"toxic{f}") for f in range(FOLDS)) >= min(SEEN, max(1, int(n[:, 1].sum()) // 8))).toPandas()
         once.unpersist()
@@ -234,7 +234,7 @@ class ToxicityModel:
         found = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("evidence", pa.float64())]))
         schema = pa.schema([*kinds.items(), ("top", pa.float64()), ("total", pa.float64()), *([("passages", found)] if passages else [])])
         sql = ", ".join([*(f"{c} {'int' if k == pa.int32() else 'long'}" for c, k in kinds.items()), "top double, total double", *(["passages array<struct<first:bigint,last:bigint,evidence:double>>"] if passages else [])])
-        return texts.select("text", *carry).mapInArrow(_evidence(held, len(carry), schema), sql)
+        return texts.select("text", *carry).mapInArrow(lean(_evidence(held, len(carry), schema)), sql)
 
     def score(self, docs: DataFrame) -> DataFrame:
         """``(doc_id, score, passages)`` of each row; a passage has its first and last word and its evidence.
