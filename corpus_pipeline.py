@@ -9,28 +9,19 @@ from silvaframe.llm.queries import GOOD, TOXIC, tokenizer
 from silvaframe.llm.scratch import written
 
 
-def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids.select(F.col("doc_id").alias("gone")), F.col("doc_id") == F.col("gone"), "left_anti")
-
-
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that score as toxic go."""
-    model = toxicity.ToxicityModel.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = written(model.score(docs).select("doc_id", "score"), "toxicity")
-    return _kept(docs, scored.where(F.col("score") >= TOXIC))
+    return toxicity.ToxicityModel.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).kept(docs, TOXIC)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that score as poor go."""
-    stats = quality.measured(docs)
-    scored = quality.QualityModel.fit(stats, spark.read.parquet(f"{sf_dir}/labels.parquet")).score(stats)
-    return _kept(docs, written(scored, "quality").where(F.col("score") < GOOD))
+    return quality.QualityModel.fit_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).kept(docs, GOOD)
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts linked by five-word shingles with a similarity of 0.8 or more, the one with the smallest id stays."""
-    classes = written(jaccard.jaccard_classes(docs, 5, 80), "classes")
-    return _kept(docs, classes.where("component_id <> doc_id"))
+    return jaccard.one_of_each(docs, 5, 80)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

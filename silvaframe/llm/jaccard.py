@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .components import components
 from .kernels import U, byte_values, chunks, lean, mix, shingle_sets, spaces, word_hashes
@@ -43,6 +43,8 @@ GROUP = 32
 FLUSH = 2_000_000
 #: Bits of the filter that says which texts belong to a family of two or more.
 FILTER_BITS = 1 << 24
+#: Keys with more than this share of the rows are looked up by broadcast; there are fewer than one over it.
+HOT = 1 / 1000
 
 
 def prefix_size(n, percent: int):
@@ -238,13 +240,13 @@ def _bits(batches):
 
 
 def _measured(n: int, bits):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("h", pa.int64()), ("tokens", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_shingles", pa.int64()), ("h", pa.int64()), ("tokens", pa.binary())])
 
     def run(batches):
         wanted = np.frombuffer(bits.value, np.uint8)
         sent: set[int] = set()
         for batch in batches:
-            ids = batch.column(1)
+            ids, row = batch.column(1), batch.column(2)
             for tokens, count, lo, hi in _sets(batch.column(0), n):
                 h = set_hash(tokens, count)
                 s = _spot(h)
@@ -258,7 +260,7 @@ def _measured(n: int, bits):
                     sets.append(tokens[at[i] : at[i + 1]].tobytes() if once else None)
                 if len(sent) > 1_000_000:
                     sent.clear()
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(count, pa.int64()), pa.array(h.view(np.int64)), pa.array(sets, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), row.slice(lo, hi - lo), pa.array(count, pa.int64()), pa.array(h.view(np.int64)), pa.array(sets, pa.binary())], schema=schema)
 
     return run
 
@@ -373,21 +375,25 @@ def _open(percent: int):
     return run
 
 
-def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """``(doc_id, n_shingles, component_id)`` for each row of ``docs(doc_id, text, ...)``.
+def _row() -> Column:
+    """Tells rows apart that differ in doc_id or text."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
-    Words are maximal runs of bytes other than 0x20 and 0x09-0x0D, after A-Z
-    are lower-cased. A text's set is its distinct ``n``-word shingles; a text
-    with fewer words has its whole sequence as one. Two texts link if
-    ``100 * |A & B| >= percent * |A | B|``. ``component_id`` is the smallest
-    doc_id reachable by links.
 
-    Null, empty and blank texts have 0 shingles and are a class of their own:
-    their component is their doc_id. Rows with a null doc_id take part as
-    texts; their component is the smallest doc_id of their class, null if it
-    has none. Rows that repeat a doc_id are kept, one result row each; if they
-    have different texts each row has its own class. Other columns are ignored.
+def _looked_up(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` left-joined with ``table``, whose ``weight`` is how many of ``total`` rows a key may have.
+
+    Keys over the share ``HOT`` are fewer than one over it, so they are
+    broadcast and never dealt out.
     """
+    hot = F.col("weight") > HOT * total
+    few, many = F.broadcast(table.where(hot).drop("weight")), table.where(~hot).drop("weight")
+    rest = rows.join(few.select(key), key, "left_anti").join(many, key, "left")
+    return rows.join(few, key).unionByName(rest)
+
+
+def _firsts(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """``(doc_id, row, n_shingles, h, first)``: ``first`` has the id and row of the least id of each class with more than one row."""
     spark = docs.sparkSession
     text_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -402,7 +408,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     for row in masks:
         bits |= np.frombuffer(row.bits, np.uint8)
     held = spark.sparkContext.broadcast(bits.tobytes())
-    rows = written(docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(lean(_measured(n, held)), "doc_id long, n_shingles long, h long, tokens binary"), "rows")
+    rows = written(docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), _row().alias("row")).mapInArrow(lean(_measured(n, held)), "doc_id long, row long, n_shingles long, h long, tokens binary"), "rows")
 
     blocks = family.groupBy("root").agg(F.count(F.lit(1)).alias("k")).select("root", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
     member = family.join(blocks, "root").select("node", F.col("root").alias("family"), "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"))
@@ -415,7 +421,55 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     split = components(local.where("split and h <> root").select(F.col("h").alias("a"), F.col("root").alias("b")), "split")
     classes = local.where("not split and h <> root").select(F.col("h").alias("node"), "root").unionByName(split.where("node <> root"))
 
-    keyed = rows.select("doc_id", "n_shingles", "h").join(classes, F.col("h") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("root", "h").alias("class"))
-    least = keyed.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("k")).where("k > 1").select("class", "least")
-    return keyed.join(least, "class", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    # one row for each text, then for each class: copies are counted before anything is dealt by class
+    rows = rows.select("doc_id", "row", "n_shingles", "h")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")
+    texts = rows.where("n_shingles > 0").groupBy("h").agg(first, F.count(F.lit(1)).alias("k")).join(classes, F.col("h") == F.col("node"), "left")
+    texts = written(texts.select("h", "first", "k", F.coalesce("root", "h").alias("class")), "texts")
+    firsts = texts.groupBy("class").agg(F.min("first").alias("first"), F.sum("k").alias("rows"), F.count(F.lit(1)).alias("weight")).where("rows > 1")
+    firsts = written(firsts.select("class", "first", "weight"), "firsts")
+    total = rows.count()
+    by_text = _looked_up(texts.select("h", "k", "class"), firsts, "class", total)
+    by_text = written(by_text.where("first is not null").select("h", F.col("k").alias("weight"), "first"), "by-text")
+    alone = rows.where("n_shingles = 0").withColumn("first", F.lit(None).cast(by_text.schema["first"].dataType))
+    return _looked_up(rows.where("n_shingles > 0"), by_text, "h", total).select(*alone.columns).unionByName(alone)
+
 
+def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """``(doc_id, n_shingles, component_id)`` for each row of ``docs(doc_id, text, ...)``.
+
+    Words are maximal runs of bytes other than 0x20 and 0x09-0x0D, after A-Z
+    are lower-cased. A text's set is its distinct ``n``-word shingles; a text
+    with fewer words has its whole sequence as one. Two texts link if
+    ``100 * |A & B| >= percent * |A | B|``. ``component_id`` is the smallest
+    doc_id reachable by links.
+
+    Null, empty and blank texts have 0 shingles and are a class of their own:
+    their component is their doc_id. Rows with a null doc_id take part as
+    texts; their component is the smallest doc_id of their class, null if it
+    has none. Rows that repeat a doc_id are kept, one result row each; if they
+    have different texts each row has its own class. Other columns are ignored.
+    """
+    rows = _firsts(docs, n, percent)
+    return rows.select("doc_id", "n_shingles", F.coalesce("first.doc_id", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, without those linked to another that stays.
+
+    Of each class as ``jaccard_classes`` finds it the row with the smallest
+    doc_id stays; null ids come last, ties go by a hash of id and text, and of
+    rows with the same id and text one stays. Rows without words are all kept.
+    """
+    mark = next(x for i in range(len(docs.columns) + 1) if not any(c.startswith(x := f"own{i}_") for c in docs.columns))
+    key, row, row_id = f"{mark}key", f"{mark}row", f"{mark}id"
+    rows = written(_firsts(docs, n, percent).where("first is not null").select(F.col("row").alias(row), F.col("doc_id").alias(row_id), (F.col("row") == F.col("first.row")).alias("stays")), "decided")
+    again = written(rows.where("stays").groupBy(row, row_id).count().where("count > 1").select(row, row_id), "again")
+    keyed = docs.withColumn(key, _row())
+    same = (F.col(key) == F.col(row)) & F.col("doc_id").cast("long").eqNullSafe(F.col(row_id))
+    gone = rows.where("not stays").select(row, row_id).unionByName(again)
+    # texts are dealt by row at every size: a broadcast of the ids would grow with the corpus
+    kept = keyed.join(gone.hint("merge"), same, "left_anti")
+    if not again.isEmpty():
+        kept = kept.unionByName(keyed.join(again.hint("merge"), same, "left_semi").dropDuplicates([key, "doc_id"]))
+    return kept.select(*docs.columns)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .kernels import byte_values, chunks, lean, running, shingle_sets, spaces, span_hash, word_spans
-from .sample import labelled, with_text
+from .sample import labelled, rows_where, with_text
 from .scratch import written
 
 #: Labelled documents of the fit at most about; random features; ridge; partitions that sum.
@@ -156,6 +156,12 @@ class QualityModel:
         model.knots = isotonic(raw, rest["label"].to_numpy().astype(float))
         return model
 
+    @classmethod
+    def fit_documents(cls, docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> QualityModel:
+        """``fit`` where only the labelled sample of ``docs`` is measured."""
+        sample = labelled(labels, "quality", rows)
+        return cls.fit(measured(docs.join(F.broadcast(sample), F.col("doc_id") == F.col("sample_id"), "left_semi")), labels, rows)
+
     def score(self, measured: DataFrame) -> DataFrame:
         """``(doc_id, score)`` of each row of ``measured``."""
         held = measured.sparkSession.sparkContext.broadcast((self.shape, self.weights, self.knots))
@@ -169,6 +175,20 @@ class QualityModel:
 
         return measured.mapInArrow(lean(run), "doc_id long, score double")
 
+    def kept(self, docs: DataFrame, least: float) -> DataFrame:
+        """The rows of ``docs``, all columns as they are, that score ``least`` or more.
+
+        One pass over the texts, without a shuffle. For nulls and empty texts
+        see ``measured``; rows are judged each on its own.
+        """
+        held = docs.sparkSession.sparkContext.broadcast((self.shape, self.weights, self.knots))
+
+        def judge(data, starts, ends):
+            shape, weights, (x, y) = held.value
+            return np.interp(features(statistics(data, starts, ends), *shape) @ weights, x, y) >= least
+
+        return rows_where(docs, judge)
+
 
 def measured(docs: DataFrame) -> DataFrame:
     """``(doc_id, stats)`` of each whole text, written once.

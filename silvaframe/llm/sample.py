@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .kernels import chunks, lean
 from .scratch import text_batches
 
 
@@ -32,5 +36,20 @@ def with_text(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), *more)
 
 
+def rows_where(docs: DataFrame, judge: Callable) -> DataFrame:
+    """The rows of ``docs`` whose text passes ``judge(bytes, starts, ends)``, which gives a boolean for each text of a chunk."""
+    text_batches(docs.sparkSession)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            for data, starts, ends, lo, hi in chunks(batch.column(at).cast(pa.string())):
+                keep[lo:hi] = judge(data, starts, ends)
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(lean(run), docs.schema)
+
+
 def rows_of(batch: pa.RecordBatch, lo: int, hi: int, columns: range) -> list[pa.Array]:
     return [batch.column(i).slice(lo, hi - lo) for i in columns]

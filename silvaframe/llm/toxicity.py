@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .kernels import U, byte_values, chunks, lean, mix, non_letters, running, shingle_sets, span_hash, word_spans
-from .sample import labelled, with_text
+from .sample import labelled, rows_where, with_text
 
 #: Labelled documents of the fit, at most about.
 FIT_ROWS = 6000
@@ -121,27 +121,34 @@ def _words_scored(units, token, weight):
     return best
 
 
+def _scan(model, values, breaks, data, starts, ends):
+    """Evidence of each text's best segment, that of its significant ones together, and these."""
+    token, weight, decay = model
+    n_docs = len(starts)
+    units, doc = _units(data, starts, ends, values, breaks)
+    best = _words_scored(units, token, weight)
+    hit = np.flatnonzero(best > 0)
+    n = np.bincount(doc, minlength=n_docs)
+    begin = np.cumsum(n) - n
+    top, total, passages = np.zeros(n_docs), np.zeros(n_docs), [[] for _ in range(n_docs)]
+    cut = np.searchsorted(doc[hit], np.arange(n_docs + 1))
+    for d in np.flatnonzero(np.diff(cut)).tolist():
+        h = hit[cut[d] : cut[d + 1]]
+        for s, i, j in segments(h - begin[d], best[h]):
+            sure = decay * s - math.log(n[d])  # minus log of the expected number by chance
+            top[d] = max(top[d], sure)
+            if sure > -math.log(LEVEL):
+                total[d] += sure
+                passages[d].append({"first": i, "last": j, "evidence": sure})
+    return top, total, passages
+
+
 def _evidence(model, n_carry: int, schema):
     def run(batches):
-        token, weight, decay = model.value[:3]
         values, breaks = byte_values(), non_letters()
         for batch in batches:
             for data, starts, ends, lo, hi in chunks(batch.column(0)):
-                units, doc = _units(data, starts, ends, values, breaks)
-                best = _words_scored(units, token, weight)
-                hit = np.flatnonzero(best > 0)
-                n = np.bincount(doc, minlength=hi - lo)
-                begin = np.cumsum(n) - n
-                top, total, passages = np.zeros(hi - lo), np.zeros(hi - lo), [[] for _ in range(hi - lo)]
-                cut = np.searchsorted(doc[hit], np.arange(hi - lo + 1))
-                for d in np.flatnonzero(np.diff(cut)).tolist():
-                    h = hit[cut[d] : cut[d + 1]]
-                    for s, i, j in segments(h - begin[d], best[h]):
-                        sure = decay * s - math.log(n[d])  # minus log of the expected number by chance
-                        top[d] = max(top[d], sure)
-                        if sure > -math.log(LEVEL):
-                            total[d] += sure
-                            passages[d].append({"first": i, "last": j, "evidence": sure})
+                top, total, passages = _scan(model.value, values, breaks, data, starts, ends)
                 extra = [pa.array(passages, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("evidence", pa.float64())])))] if "passages" in schema.names else []
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in range(1, 1 + n_carry)), pa.array(top), pa.array(total), *extra], schema=schema)
 
@@ -246,3 +253,18 @@ class ToxicityModel:
         out = self._evidence(with_text(docs), ["doc_id"], {"doc_id": pa.int64()}, True)
         line = F.lit(b) + F.lit(one) * F.least(F.greatest("top", F.lit(0.0)), F.lit(8.0)) + F.lit(two) * F.log1p("total")
         return out.select("doc_id", (1 / (1 + F.exp(-line))).alias("score"), "passages")
+
+    def kept(self, docs: DataFrame, below: float) -> DataFrame:
+        """The rows of ``docs``, all columns as they are, that score less than ``below``.
+
+        One pass over the texts, without a shuffle. For nulls, empty texts and
+        repeated ids see ``score``; rows are judged each on its own.
+        """
+        held = docs.sparkSession.sparkContext.broadcast((self.token, self.weight, self.decay))
+        curve = self.curve
+
+        def judge(data, starts, ends):
+            top, total, _ = _scan(held.value, byte_values(), non_letters(), data, starts, ends)
+            return 1 / (1 + np.exp(-(curve[0] + ToxicityModel._shape(top, total) @ curve[1:]))) < below
+
+        return rows_where(docs, judge)

@@ -79,6 +79,27 @@ def test_jaccard_empty(spark):
     assert jaccard.jaccard_classes(docs(spark, [])).count() == 0
 
 
+def test_one_of_each_group_stays(spark):
+    long = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
+    rows = [(3, long), (2, long + " end"), (2, long), (None, long), (1, "one two three four five six"), (1, "one two three four five six"), (1, "another text of the same id"), (None, None), (None, None), (4, ""), (5, "  ")]
+    d = spark.createDataFrame([(i, t, "x", 0) for i, t in rows], "doc_id long, text string, row string, row_0 int")
+    out = jaccard.one_of_each(d)
+    got = collections.Counter((r.doc_id, r.text) for r in out.collect())
+    kept = [x for x in got if x[0] == 2]
+    assert out.columns == d.columns and len(kept) == 1 and got.pop(kept[0]) == 1
+    assert got == {(1, "one two three four five six"): 1, (1, "another text of the same id"): 1, (None, None): 2, (4, ""): 1, (5, "  "): 1}
+    assert jaccard.one_of_each(d.limit(0)).count() == 0
+
+
+def test_stages_judge_rows_not_ids(spark, sf):
+    d, lab = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    wide = d.withColumn("score", F.lit("clash")).unionByName(d.limit(0).withColumn("score", F.lit("clash")))
+    for model, of, keep in ((toxicity.ToxicityModel.fit(d, lab), wide, lambda s: s < 0.7), (quality.QualityModel.fit_documents(d, lab), quality.measured(wide), lambda s: s >= 0.5)):
+        want = sorted(r.doc_id for r in model.score(of).collect() if keep(r.score))
+        out = model.kept(wide, 0.7 if isinstance(model, toxicity.ToxicityModel) else 0.5)
+        assert out.columns == wide.columns and sorted(r.doc_id for r in out.collect()) == want and want
+
+
 def test_word_hashes_follow_the_word_rule():
     texts = ["A b\tC", "", "Ünï  ünï", None, "\x0bx\x0c y\x1fz"]
     for data, starts, ends, lo, hi in chunks(pa.array(texts)):
