@@ -8,7 +8,8 @@ output shards by a tree: each node halves its shards and draws the left half's
 share of every source's quota from the multivariate hypergeometric law, so a
 shard is a random part of the mix while every quota is met exactly. A shard
 takes consecutive runs of each source's permuted draws, so draws are disjoint,
-and orders what it has by a local hash.
+and orders what it has by a local hash. The mix is dealt out to its shards, one
+after the other, each in its order; a large shard is several partitions.
 
 The driver sees sums of sources and blocks only: at most ``BLOCKS`` rows a
 source, however many texts there are. Texts are read once for their size.
@@ -27,6 +28,8 @@ BLOCKS, BLOCK_WORDS = 4096, 16384
 WEIGHTS = (3, 1, 2)
 #: Words of the mix in proportion to all words; copies of a text at most.
 SHARE, MOST = 1.5, 2.0
+#: Words of a partition of the mix, about.
+PART_WORDS = 8_000_000
 
 
 def words_in(text: Column) -> Column:
@@ -72,8 +75,8 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
 def mix_plan(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, shards: int = 16, seed: int = 11) -> DataFrame:
     """``docs`` with ``mix_size``, ``mix_source_size``, ``mix_target`` and ``mix_draws``.
 
-    ``mix_draws`` is an array of ``struct<epoch, shard, words>``, one for each
-    time the mix takes the text; ``words`` is the text's size, but for one text
+    ``mix_draws`` is an array of ``struct<epoch, shard, place, words>``, one for
+    each time the mix takes the text; ``place`` orders the draws of a shard; ``words`` is the text's size, but for one text
     of each source, of which the mix takes the first words only so that the
     source meets its target to the word. Texts without words are never drawn.
 
@@ -82,6 +85,11 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, shards: i
     names start with ``mix_`` are replaced. An empty table gives an empty plan.
     Reruns over the same rows give the same draws.
     """
+    return _planned(docs, weights, share, most, shards, seed)[0]
+
+
+def _planned(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, shards: int = 16, seed: int = 11) -> tuple[DataFrame, int, int]:
+    """The plan, its shards and the words of the mix."""
     spark = docs.sparkSession
     docs = docs.drop(*[c for c in docs.columns if c.startswith("mix_")])
     key = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), F.col("text"))
@@ -130,11 +138,15 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, shards: i
     def draw(epoch: Column, words: Column) -> Column:
         number = epoch * F.col("s_blocks") + F.col("block")
         shard = F.size(F.filter("d_bounds", lambda b: b <= number))
-        return F.struct(epoch.cast("long").alias("epoch"), shard.cast("int").alias("shard"), words.cast("long").alias("words"))
+        place = F.xxhash64("mix_key", epoch.cast("long"), F.lit(seed))
+        return F.struct(epoch.cast("long").alias("epoch"), shard.cast("int").alias("shard"), place.alias("place"), words.cast("long").alias("words"))
+
+    none = F.array().cast("array<struct<epoch:bigint,shard:int,place:bigint,words:bigint>>")
 
-    whole = F.when((F.col("s_epochs") > 0) & (F.col("mix_size") > 0), F.transform(F.sequence(F.lit(0).cast("long"), F.col("s_epochs") - 1), lambda e: draw(e, F.col("mix_size")))).otherwise(F.array().cast("array<struct<epoch:bigint,shard:int,words:bigint>>"))
-    extra = F.when(F.col("more") > 0, F.array(draw(F.col("s_epochs"), F.col("more")))).otherwise(F.array().cast("array<struct<epoch:bigint,shard:int,words:bigint>>"))
-    return out.select(*docs.columns, "mix_key", "mix_size", F.col("s_size").alias("mix_source_size"), F.col("s_target").alias("mix_target"), F.concat(whole, extra).alias("mix_draws"))
+    whole = F.when((F.col("s_epochs") > 0) & (F.col("mix_size") > 0), F.transform(F.sequence(F.lit(0).cast("long"), F.col("s_epochs") - 1), lambda e: draw(e, F.col("mix_size")))).otherwise(none)
+    extra = F.when(F.col("more") > 0, F.array(draw(F.col("s_epochs"), F.col("more")))).otherwise(none)
+    plan = out.select(*docs.columns, "mix_key", "mix_size", F.col("s_size").alias("mix_source_size"), F.col("s_target").alias("mix_target"), F.concat(whole, extra).alias("mix_draws"))
+    return plan, shards, sum(round(t) for t in target.values())
 
 
 def _end(sums, rest: dict[int, int]) -> tuple[dict[int, tuple[int, int]], dict[int, int]]:
@@ -158,13 +170,18 @@ def _end(sums, rest: dict[int, int]) -> tuple[dict[int, tuple[int, int]], dict[i
 def mixed(docs: DataFrame, seed: int = 11, **options) -> DataFrame:
     """The mix itself: one row of ``docs`` for each draw, with ``mix_shard`` and ``mix_place``.
 
-    A shard's rows, ordered by ``mix_place``, are its local shuffle. A text of
-    which only the first words are drawn is cut after them. For the cases of
-    nulls, empty texts and repeated rows see ``mix_plan``.
+    Partitions hold the shards one after the other, each in the order of
+    ``mix_place``, its local shuffle; a shard of over ``PART_WORDS`` words is
+    several partitions, cut by place. A text of which only the first words are
+    drawn is cut after them. For the cases of nulls, empty texts and repeated
+    rows see ``mix_plan``.
     """
-    plan = mix_plan(docs, seed=seed, **options)
+    plan, shards, words = _planned(docs, seed=seed, **options)
     drawn = plan.select(*[c for c in plan.columns if c != "mix_draws"], F.explode("mix_draws").alias("draw"))
     ends = F.split("text", "(?<=[^\\x20\\x09-\\x0D])(?=[\\x20\\x09-\\x0D])")  # each part ends with a word
     cut = F.array_join(F.slice(ends, F.lit(1), F.col("draw.words").cast("int")), "")
     text = F.when(F.col("draw.words") < F.col("mix_size"), cut).otherwise(F.col("text"))
-    return drawn.withColumns({"text": text, "mix_shard": F.col("draw.shard"), "mix_place": F.xxhash64("mix_key", "draw.epoch", F.lit(seed))}).drop("draw")
+    out = drawn.withColumns({"text": text, "mix_shard": F.col("draw.shard"), "mix_place": F.col("draw.place")}).drop("draw")
+    parts = max(1, -(-words // (shards * PART_WORDS)))
+    part = F.least(F.floor((F.col("mix_place") / F.lit(2.0**64) + 0.5) * parts), F.lit(parts - 1))
+    return out.repartitionById(shards * parts, (F.col("mix_shard") * parts + part).cast("int")).sortWithinPartitions("mix_shard", "mix_place")

@@ -131,6 +131,34 @@ def test_mixing_meets_targets(spark, awkward):
     assert mixing.mix_plan(docs(spark, [])).count() == 0
 
 
+def test_mix_is_dealt_out_by_the_splitting_tree(spark, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 400)
+    monkeypatch.setattr(mixing, "PART_WORDS", 1000)
+    rng = random.Random(9)
+    d = docs(spark, [(i, " ".join(f"w{rng.randrange(90)}" for _ in range(rng.randrange(1, 12))), "en", rng.choice("abc")) for i in range(3000)])
+    plan = mixing.mix_plan(d, shards=4).collect()
+    blocks = {r.source: r.mix_source_size // 400 for r in plan}
+    dealt = {(r.source, x.epoch, r.mix_key % blocks[r.source], x.shard) for r in plan for x in r.mix_draws}
+    quotas = np.array([len({x[1:3] for x in dealt if x[0] == s}) for s in "abc"])
+    assert len(dealt) == quotas.sum() > 40
+    assert [[sum(x[0] == s and x[3] == n for x in dealt) for s in "abc"] for n in range(4)] == mixing.split_quotas(quotas, 4, 11).tolist()
+
+    drawn = sorted((x.shard, x.place, r.doc_id) for r in plan for x in r.mix_draws)
+    parts = mixing.mixed(d, shards=4).select("mix_shard", "mix_place", "doc_id").rdd.glom().collect()
+    assert [tuple(r) for part in parts for r in part] == drawn
+    assert len(parts) > 4 and all(len({r.mix_shard for r in part}) <= 1 for part in parts)
+    staged = corpus_pipeline.mixing_stage(spark, d, "").select("doc_id").collect()
+    places = sorted((x.shard, x.place, r.doc_id) for r in mixing.mix_plan(d).collect() for x in r.mix_draws)
+    assert [r.doc_id for r in staged] == [p[2] for p in places]
+
+
+def test_op1_tells_shard_and_place(spark, sf):
+    rows = QUERIES["op1_mixing"](spark, sf).collect()
+    assert all(sum(x.words for x in r.mix_draws) == r.taken and all(0 <= x.shard < 16 and x.place is not None for x in r.mix_draws) for r in rows)
+
+
 def test_hypergeometric_split_is_exact():
     q = np.array([5, 0, 17, 100])
     s = mixing.split_quotas(q, 7, 1)
