@@ -25,8 +25,8 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights, shard by shard, each in its local shuffle; a document that is drawn twice is two rows."""
-    mix = mixing.mixed(docs)
+    """Whole texts of sources at their target weights, shard by shard, each in its local shuffle; a document that is drawn twice is two rows."""
+    mix = mixing.mixed(docs, whole=True)
     return mix.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

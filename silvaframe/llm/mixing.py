@@ -72,23 +72,26 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def mix_plan(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, shards: int = 16, seed: int = 11) -> DataFrame:
+def mix_plan(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, shards: int = 16, seed: int = 11, whole: bool = False) -> DataFrame:
     """``docs`` with ``mix_size``, ``mix_source_size``, ``mix_target`` and ``mix_draws``.
 
     ``mix_draws`` is an array of ``struct<epoch, shard, place, words>``, one for
     each time the mix takes the text; ``place`` orders the draws of a shard; ``words`` is the text's size, but for one text
     of each source, of which the mix takes the first words only so that the
-    source meets its target to the word. Texts without words are never drawn.
+    source meets its target to the word. With ``whole`` the mix takes that text
+    whole or not at all, whichever is nearer to the target, so that every draw
+    is a whole text. Texts without words are never drawn.
 
     Null text has size 0. Null source is a source of its own, last in order.
-    Rows that repeat each other are separate texts. Columns of ``docs`` whose
+    Rows that repeat each other are separate texts, numbered by their other
+    columns: of them too at most one is drawn in part. Columns of ``docs`` whose
     names start with ``mix_`` are replaced. An empty table gives an empty plan.
     Reruns over the same rows give the same draws.
     """
-    return _planned(docs, weights, share, most, shards, seed)[0]
+    return _planned(docs, weights, share, most, shards, seed, whole)[0]
 
 
-def _planned(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, shards: int = 16, seed: int = 11) -> tuple[DataFrame, int, int]:
+def _planned(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, shards: int = 16, seed: int = 11, whole: bool = False) -> tuple[DataFrame, int, int]:
     """The plan, its shards and the words of the mix."""
     spark = docs.sparkSession
     docs = docs.drop(*[c for c in docs.columns if c.startswith("mix_")])
@@ -118,9 +121,15 @@ def _planned(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, shards: i
     part = spark.createDataFrame([(s, b, left) for s, (b, left) in parts.items()], "s_no int, sub int, part_rest long")
     keys = inside.join(F.broadcast(part), ["s_no", "sub"]).groupBy("s_no", "part_rest", "mix_key").agg(F.min("mix_size").alias("size"), F.count(F.lit(1)).alias("k"))
     ahead = F.coalesce(F.sum(F.col("size") * F.col("k")).over(Window.partitionBy("s_no").orderBy("mix_key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    share_ = F.floor((F.col("part_rest") - F.col("ahead")) / F.col("k")).cast("long")
-    edge = keys.withColumn("ahead", ahead).select(F.col("mix_key").alias("e_key"), F.col("s_no").alias("e_no"), F.greatest(F.lit(0).cast("long"), F.least("size", share_)).alias("e_more"))
-    edge = written(edge.where("e_more > 0"), "edge")
+    # of the k rows with a key, ``e_copies`` are taken whole and the next in part
+    left = F.greatest(F.lit(0).cast("long"), F.col("part_rest") - F.col("ahead"))
+    edge = keys.withColumn("ahead", ahead).withColumn("left", left).withColumn("copies", F.least("k", F.floor(F.col("left") / F.col("size"))))
+    words = F.when(F.col("copies") < F.col("k"), F.col("left") - F.col("copies") * F.col("size")).otherwise(0)
+    edge = edge.withColumn("words", F.least(words, F.col("size")))
+    if whole:
+        edge = edge.withColumns({"copies": F.col("copies") + (2 * F.col("words") >= F.col("size")).cast("long"), "words": F.lit(0).cast("long")})
+    edge = edge.where("copies > 0 or words > 0").select(F.col("mix_key").alias("e_key"), F.col("s_no").alias("e_no"), F.col("copies").alias("e_copies"), F.col("words").alias("e_words"), F.expr("k > 1 and copies < k").alias("e_apart"))
+    edge = written(edge, "edge")
 
     draws = [int(r[5]) * r[4] + (full.get(r[1], 0) + (r[1] in ends) if r[6] else 0) for r in rows]
     by_shard = split_quotas(np.array(draws, np.int64), shards, seed) if sum(draws) else np.zeros((shards, len(draws)), np.int64)
@@ -131,8 +140,15 @@ def _planned(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, shards: i
     )
     out = keyed.join(F.broadcast(table), keyed.mix_source.eqNullSafe(table.s)).withColumns(dealt)
     out = out.join(edge, (F.col("mix_key") == F.col("e_key")) & (F.col("s_no") == F.col("e_no")), "left")
+    if edge.where("e_apart").head(1):
+        apart = F.coalesce("e_apart", F.lit(False))
+        number = F.row_number().over(Window.partitionBy("s_no", "mix_key").orderBy(F.xxhash64(*docs.columns))) - 1
+        out = out.where(~apart).withColumn("number", F.lit(0)).unionByName(out.where(apart).withColumn("number", number))
+    else:
+        out = out.withColumn("number", F.lit(0))
+    at_edge = F.when(F.col("number") < F.col("e_copies"), F.col("mix_size")).when(F.col("number") == F.col("e_copies"), F.col("e_words"))
     before = (F.col("block") < F.col("d_block")) | ((F.col("block") == F.col("d_block")) & (F.col("sub") < F.col("d_sub")))
-    out = out.withColumn("more", F.when(before, F.col("mix_size")).otherwise(F.coalesce("e_more", F.lit(0).cast("long"))))
+    out = out.withColumn("more", F.when(before, F.col("mix_size")).otherwise(F.coalesce(at_edge, F.lit(0).cast("long"))))
 
     # the number of (epoch, block) in the source's permuted draws tells its shard
     def draw(epoch: Column, words: Column) -> Column:
@@ -143,9 +159,9 @@ def _planned(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, shards: i
 
     none = F.array().cast("array<struct<epoch:bigint,shard:int,place:bigint,words:bigint>>")
 
-    whole = F.when((F.col("s_epochs") > 0) & (F.col("mix_size") > 0), F.transform(F.sequence(F.lit(0).cast("long"), F.col("s_epochs") - 1), lambda e: draw(e, F.col("mix_size")))).otherwise(none)
+    every = F.when((F.col("s_epochs") > 0) & (F.col("mix_size") > 0), F.transform(F.sequence(F.lit(0).cast("long"), F.col("s_epochs") - 1), lambda e: draw(e, F.col("mix_size")))).otherwise(none)
     extra = F.when(F.col("more") > 0, F.array(draw(F.col("s_epochs"), F.col("more")))).otherwise(none)
-    plan = out.select(*docs.columns, "mix_key", "mix_size", F.col("s_size").alias("mix_source_size"), F.col("s_target").alias("mix_target"), F.concat(whole, extra).alias("mix_draws"))
+    plan = out.select(*docs.columns, "mix_key", "mix_size", F.col("s_size").alias("mix_source_size"), F.col("s_target").alias("mix_target"), F.concat(every, extra).alias("mix_draws"))
     return plan, shards, sum(round(t) for t in target.values())
 
 
@@ -173,7 +189,7 @@ def mixed(docs: DataFrame, seed: int = 11, **options) -> DataFrame:
     Partitions hold the shards one after the other, each in the order of
     ``mix_place``, its local shuffle; a shard of over ``PART_WORDS`` words is
     several partitions, cut by place. A text of which only the first words are
-    drawn is cut after them. For the cases of nulls, empty texts and repeated
+    drawn is cut after them; with ``whole`` there is none. For the cases of nulls, empty texts and repeated
     rows see ``mix_plan``.
     """
     plan, shards, words = _planned(docs, seed=seed, **options)

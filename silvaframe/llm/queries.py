@@ -33,7 +33,7 @@ def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
 
 
 def op1_mixing(spark: SparkSession, sf: str) -> DataFrame:
-    plan = mixing.mix_plan(_read(spark, sf, "documents"))
+    plan = mixing.mix_plan(_read(spark, sf, "documents"), whole=True)
     taken = F.aggregate("mix_draws", F.lit(0).cast("long"), lambda a, x: a + x.words)
     return plan.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), taken.alias("taken"), "mix_draws")
 

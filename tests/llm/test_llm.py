@@ -150,10 +150,35 @@ def test_mix_is_dealt_out_by_the_splitting_tree(spark, monkeypatch):
     assert [tuple(r) for part in parts for r in part] == drawn
     assert len(parts) > 4 and all(len({r.mix_shard for r in part}) <= 1 for part in parts)
     staged = corpus_pipeline.mixing_stage(spark, d, "").select("doc_id").collect()
-    places = sorted((x.shard, x.place, r.doc_id) for r in mixing.mix_plan(d).collect() for x in r.mix_draws)
+    places = sorted((x.shard, x.place, r.doc_id) for r in mixing.mix_plan(d, whole=True).collect() for x in r.mix_draws)
     assert [r.doc_id for r in staged] == [p[2] for p in places]
 
 
+def test_mix_takes_whole_texts(spark, awkward, sf):
+    import corpus_pipeline
+
+    rows = mixing.mix_plan(awkward, whole=True).collect()
+    assert all(x.words == r.mix_size for r in rows for x in r.mix_draws)
+    target, taken, most = ({}, collections.Counter(), collections.Counter())
+    for r in rows:
+        target[r.source] = r.mix_target
+        taken[r.source] += sum(x.words for x in r.mix_draws)
+        most[r.source] = max(most[r.source], r.mix_size)
+    assert all(abs(taken[s] - target[s]) <= most[s] / 2 + 1 for s in target)
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    assert corpus_pipeline.mixing_stage(spark, d, sf).select("doc_id", "text").join(d, ["doc_id", "text"], "left_anti").count() == 0
+    assert all(x.words == r["size"] for r in QUERIES["op1_mixing"](spark, sf).collect() for x in r.mix_draws)
+
+
+@pytest.mark.parametrize("whole", [False, True])
+def test_equal_rows_share_no_cut(spark, whole):
+    d = docs(spark, [(1, "w " * 100, "en", "a")] * 101 + [(2, "v " * 99_999, "en", "b")])
+    rows = mixing.mix_plan(d, whole=whole, weights=(1, 8)).where("source = 'a'").collect()
+    assert sum(0 < x.words < 100 for r in rows for x in r.mix_draws) == (0 if whole else 1)
+    assert len({len(r.mix_draws) for r in rows}) == 2
+    assert abs(sum(x.words for r in rows for x in r.mix_draws) - rows[0].mix_target) <= (50.5 if whole else 0.5)
+
+
 def test_op1_tells_shard_and_place(spark, sf):
     rows = QUERIES["op1_mixing"](spark, sf).collect()
     assert all(sum(x.words for x in r.mix_draws) == r.taken and all(0 <= x.shard < 16 and x.place is not None for x in r.mix_draws) for r in rows)
