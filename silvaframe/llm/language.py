@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .kernels import U, byte_values, chunks, non_letters
-from .sample import held_out, with_text
+from .sample import about, held_out, with_text
 
 #: Documents of the fit, at most about; buckets, embedding size, subword lengths.
 FIT_ROWS, BUCKETS, SIZE, GRAMS = 3000, 1 << 14, 16, (1, 2, 3, 4)
@@ -64,11 +64,19 @@ def _sparse(batches):
 
 
 def train(texts: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes: int, seed: int = 3) -> np.ndarray:
-    """Table of logits (bucket, class) from sparse texts, by SGD over both layers."""
+    """Table of logits (bucket, class) from sparse texts, by SGD over both layers.
+
+    The texts of a step are one array of (bucket, share) pairs: the forward
+    pass sums runs of it, the backward pass takes one matrix product.
+    """
     rng = np.random.default_rng(seed)
     embed = rng.uniform(-1 / SIZE, 1 / SIZE, (BUCKETS, SIZE)).astype(np.float32)
     out = np.zeros((SIZE, classes), np.float32)
     steps = PASSES * -(-len(texts) // BATCH)
+    size = np.array([len(b) for b, _ in texts])
+    first = np.cumsum(size) - size
+    bucket = np.concatenate([b for b, _ in texts])
+    share = np.concatenate([c / c.sum() for _, c in texts]).astype(np.float32)
     done = 0
     for _ in range(PASSES):
         order = rng.permutation(len(texts))
@@ -76,16 +84,21 @@ def train(texts: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes: in
             some = order[a : a + BATCH]
             rate = STEP_SIZE * (1 - done / steps)
             done += 1
-            mean = np.stack([(texts[i][1][:, None] * embed[texts[i][0]]).sum(0) / texts[i][1].sum() for i in some])
+            n = size[some]
+            begin = np.cumsum(n) - n
+            at = np.repeat(first[some] - begin, n) + np.arange(n.sum())
+            b, w, of = bucket[at], share[at, None], np.repeat(np.arange(len(some)), n)
+            mean = np.add.reduceat(w * embed[b], begin)
             z = mean @ out
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(some)), y[some]] -= 1
             back = p @ out.T
             out -= rate * mean.T @ p
-            for i, g in zip(some, back, strict=True):
-                b, c = texts[i]
-                embed[b] -= rate * 4 * (c / c.sum())[:, None] * g
+            unique, where = np.unique(b, return_inverse=True)
+            order_ = np.argsort(where, kind="stable")
+            starts = np.searchsorted(where[order_], np.arange(len(unique)))
+            embed[unique] -= rate * 4 * np.add.reduceat((w * back[of])[order_], starts)
     return embed @ out
 
 
@@ -108,9 +121,7 @@ class LanguageModel:
         no language and every text is ``und``.
         """
         known = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-        n = known.select("doc_id").count()
-        if n > rows:
-            known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < F.lit(rows * 1_000_000 // n))
+        known = about(known, "doc_id", known.select("doc_id").count(), rows)
         part = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(5)).cast("int")
         got = known.select(F.col("text").cast("string"), F.col("lang").cast("string"), part.alias("part")).mapInArrow(_sparse, "lang string, part int, bucket binary, count binary").toArrow()
         texts = [(np.frombuffer(b.as_buffer(), np.uint16).astype(np.int64), np.frombuffer(c.as_buffer(), np.float32)) for b, c in zip(got["bucket"].combine_chunks(), got["count"].combine_chunks(), strict=True)]

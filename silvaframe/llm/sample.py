@@ -17,6 +17,20 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+#: Values of the hash by which samples are chosen.
+SPACE = 1 << 62
+
+
+def threshold(n: int, rows: int) -> int:
+    """Hash values under this number belong to a sample of about ``rows`` of ``n``; never none of a table that has any."""
+    return SPACE if n <= rows else max(1, rows * SPACE // n)
+
+
+def about(table: DataFrame, key: str, n: int, rows: int) -> DataFrame:
+    """About ``rows`` of the ``n`` rows of ``table``, chosen by a hash of ``key``, or all if fewer."""
+    return table if n <= rows else table.where(F.pmod(F.xxhash64(key, F.lit(3)), F.lit(SPACE)) < F.lit(threshold(n, rows)))
+
+
 def labelled(labels: DataFrame, label: str, rows: int) -> DataFrame:
     """``(sample_id, label)`` of about ``rows`` labelled documents outside the held-out fold, or all if fewer.
 
@@ -25,10 +39,7 @@ def labelled(labels: DataFrame, label: str, rows: int) -> DataFrame:
     """
     fit = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out())
     fit = fit.groupBy(F.col("doc_id").alias("sample_id")).agg((F.avg(label) >= 0.5).cast("int").alias("label"))
-    n = fit.count()
-    if n > rows:
-        fit = fit.where(F.pmod(F.xxhash64("sample_id", F.lit(3)), F.lit(1_000_000)) < F.lit(rows * 1_000_000 // n))
-    return fit
+    return about(fit, "sample_id", fit.count(), rows)
 
 
 def with_text(docs: DataFrame, *more: str) -> DataFrame:
