@@ -1,29 +1,34 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
-The texts of a source are dealt by hash into blocks, whose numbers are thus a
-random order of the source. A source whose target is r times its size gives
-each block floor(r) times and the first blocks once more, until its quota of
-words is met. The quotas of draws of all sources are then split among the
-output shards by a tree: each node halves its shards and draws the left half's
-share of every source's quota from the multivariate hypergeometric law, so a
-shard is a random part of the mix while every quota is met exactly. A shard
-takes consecutive runs of each source's permuted draws, so draws are disjoint,
-and orders what it has by a local hash. The mix is dealt out to its shards, one
+The texts of a source are dealt by hash into blocks. A source whose target is r
+times its size gives each block floor(r) times, in an order that is permuted
+anew each time, and the first blocks of one more order until its quota of words
+is met. The quotas of draws of all sources are then split among the output
+shards by a tree: each node halves its shards and draws the left half's share
+of every source's quota from the multivariate hypergeometric law, so a shard is
+a random part of the mix while every quota is met exactly. A shard takes
+consecutive runs of each source's permuted draws, so draws are disjoint, and
+orders what it has by a local hash. The mix is dealt out to its shards, one
 after the other, each in its order; a large shard is several partitions.
 
-The driver sees sums of sources and blocks only: at most ``BLOCKS`` rows a
-source, however many texts there are. Texts are read once for their size.
+The driver sees sums of sources and blocks only: one row a source and at most
+``ALL_BLOCKS`` and two a source for its blocks, however many texts there are.
+Texts are read once for their size.
 """
 
 from __future__ import annotations
 
+from math import gcd
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .scratch import written
 
-#: Blocks of a source at most, and words of a block at least.
-BLOCKS, BLOCK_WORDS = 4096, 16384
+#: Blocks of a source at most, of all sources about, and words of a block at least.
+BLOCKS, ALL_BLOCKS, BLOCK_WORDS = 4096, 1 << 18, 16384
+#: Shards at least and at most, words of a shard between these, bounds of shards over all sources.
+SHARDS, MOST_SHARDS, SHARD_WORDS, BOUNDS = 16, 4096, 64_000_000, 1 << 22
 #: Weights of the sources in code point order, null last, over and over.
 WEIGHTS = (3, 1, 2)
 #: Words of the mix in proportion to all words; copies of a text at most.
@@ -72,7 +77,22 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def mix_plan(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, shards: int = 16, seed: int = 11, whole: bool = False) -> DataFrame:
+def shards_for(words: int, sources: int) -> int:
+    """Output shards of a mix of so many words: more for a larger mix, within bounds."""
+    return max(SHARDS, min(MOST_SHARDS, words // SHARD_WORDS, BOUNDS // max(1, sources)))
+
+
+def orders(blocks: int, epochs: int, rng: np.random.Generator) -> tuple[list[int], list[int]]:
+    """(factors, shifts): in epoch e block b has place ``(b * factors[e] + shifts[e]) % blocks``, a permutation."""
+    factors = []
+    while len(factors) < epochs:
+        x = int(rng.integers(1, blocks + 1))
+        if gcd(x, blocks) == 1:
+            factors.append(x)
+    return factors, rng.integers(0, blocks, epochs).tolist()
+
+
+def mix_plan(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, shards: int | None = None, seed: int = 11, whole: bool = False) -> DataFrame:
     """``docs`` with ``mix_size``, ``mix_source_size``, ``mix_target`` and ``mix_draws``.
 
     ``mix_draws`` is an array of ``struct<epoch, shard, place, words>``, one for
@@ -83,6 +103,8 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, shards: i
     is a whole text. Texts without words are never drawn.
 
     Null text has size 0. Null source is a source of its own, last in order.
+    Without ``shards`` their number follows the words of the mix.
+
     Rows that repeat each other are separate texts, numbered by their other
     columns: of them too at most one is drawn in part. Columns of ``docs`` whose
     names start with ``mix_`` are replaced. An empty table gives an empty plan.
@@ -91,7 +113,7 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, shards: i
     return _planned(docs, weights, share, most, shards, seed, whole)[0]
 
 
-def _planned(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, shards: int = 16, seed: int = 11, whole: bool = False) -> tuple[DataFrame, int, int]:
+def _planned(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, shards: int | None = None, seed: int = 11, whole: bool = False) -> tuple[DataFrame, int, int]:
     """The plan, its shards and the words of the mix."""
     spark = docs.sparkSession
     docs = docs.drop(*[c for c in docs.columns if c.startswith("mix_")])
@@ -102,19 +124,30 @@ def _planned(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, shards: i
     sizes = {r[0]: r[1] for r in small.groupBy("mix_source").agg(F.sum("mix_size")).collect()}
     target = targets(sizes, weights, share, most)
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    rng = np.random.default_rng([seed, 1])
+    most_blocks = max(1, min(BLOCKS, ALL_BLOCKS // max(1, len(order))))
     rows = []
     for i, s in enumerate(order):
         words = round(target[s])
         epochs = words // sizes[s] if sizes[s] else 0
-        rows.append((s, i, sizes[s], float(target[s]), int(min(BLOCKS, max(1, sizes[s] // BLOCK_WORDS))), epochs, words - epochs * sizes[s]))
-    names = spark.createDataFrame(rows, "s string, s_no int, s_size long, s_target double, s_blocks int, s_epochs long, s_rest long")
+        blocks = int(min(most_blocks, max(1, sizes[s] // BLOCK_WORDS)))
+        rows.append((s, i, sizes[s], float(target[s]), blocks, epochs, words - epochs * sizes[s], *orders(blocks, epochs + 1, rng)))
+    shards = shards or shards_for(sum(round(t) for t in target.values()), len(order))
+    source = "s string, s_no int, s_size long, s_target double, s_blocks int, s_epochs long, s_rest long, s_factors array<long>, s_shifts array<long>"
+    names = spark.createDataFrame(rows, source)
     blocked = small.join(F.broadcast(names), small.mix_source.eqNullSafe(names.s))
     dealt = {"block": F.pmod("mix_key", F.col("s_blocks").cast("long")).cast("int"), "sub": F.pmod(F.xxhash64("mix_key", F.lit(1)), F.lit(BLOCKS).cast("long")).cast("int")}
     blocked = blocked.withColumns(dealt)
 
     # the block in which the last epoch's quota ends, the part of that block, then the text
     wordy = blocked.where("mix_size > 0")
-    ends, full = _end(wordy.groupBy("s_no", "block").agg(F.sum("mix_size").alias("w")).collect(), {r[1]: r[6] for r in rows})
+    last_order = {r[1]: (r[7][-1], r[8][-1], r[4]) for r in rows}
+
+    def place(s, block):
+        factor, shift, blocks = last_order[s]
+        return (block * factor + shift) % blocks
+
+    ends, full = _end(wordy.groupBy("s_no", "block").agg(F.sum("mix_size").alias("w")).collect(), {r[1]: r[6] for r in rows}, place)
     last = spark.createDataFrame([(s, b) for s, (b, _) in ends.items()], "s_no int, block int")
     inside = wordy.join(F.broadcast(last), ["s_no", "block"])
     parts, _ = _end(inside.groupBy("s_no", F.col("sub").alias("block")).agg(F.sum("mix_size").alias("w")).collect(), {s: left for s, (_, left) in ends.items()})
@@ -135,8 +168,8 @@ def _planned(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, shards: i
     by_shard = split_quotas(np.array(draws, np.int64), shards, seed) if sum(draws) else np.zeros((shards, len(draws)), np.int64)
     bounds = np.cumsum(by_shard, 0)
     table = spark.createDataFrame(
-        [(*r, [int(x) for x in bounds[:, r[1]]], ends[r[1]][0] if r[1] in ends else -1, parts[r[1]][0] if r[1] in parts else -1) for r in rows],
-        "s string, s_no int, s_size long, s_target double, s_blocks int, s_epochs long, s_rest long, d_bounds array<long>, d_block int, d_sub int",
+        [(*r, [int(x) for x in bounds[:, r[1]]], place(r[1], ends[r[1]][0]) if r[1] in ends else -1, parts[r[1]][0] if r[1] in parts else -1) for r in rows],
+        f"{source}, d_bounds array<long>, d_place int, d_sub int",
     )
     out = keyed.join(F.broadcast(table), keyed.mix_source.eqNullSafe(table.s)).withColumns(dealt)
     out = out.join(edge, (F.col("mix_key") == F.col("e_key")) & (F.col("s_no") == F.col("e_no")), "left")
@@ -147,12 +180,18 @@ def _planned(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, shards: i
     else:
         out = out.withColumn("number", F.lit(0))
     at_edge = F.when(F.col("number") < F.col("e_copies"), F.col("mix_size")).when(F.col("number") == F.col("e_copies"), F.col("e_words"))
-    before = (F.col("block") < F.col("d_block")) | ((F.col("block") == F.col("d_block")) & (F.col("sub") < F.col("d_sub")))
+
+    def placed(epoch: Column) -> Column:
+        epoch = epoch.cast("int")
+        return F.pmod(F.col("block") * F.get("s_factors", epoch) + F.get("s_shifts", epoch), F.col("s_blocks").cast("long"))
+
+    last_place = placed(F.col("s_epochs"))
+    before = (last_place < F.col("d_place")) | ((last_place == F.col("d_place")) & (F.col("sub") < F.col("d_sub")))
     out = out.withColumn("more", F.when(before, F.col("mix_size")).otherwise(F.coalesce(at_edge, F.lit(0).cast("long"))))
 
     # the number of (epoch, block) in the source's permuted draws tells its shard
     def draw(epoch: Column, words: Column) -> Column:
-        number = epoch * F.col("s_blocks") + F.col("block")
+        number = epoch * F.col("s_blocks") + placed(epoch)
         shard = F.size(F.filter("d_bounds", lambda b: b <= number))
         place = F.xxhash64("mix_key", epoch.cast("long"), F.lit(seed))
         return F.struct(epoch.cast("long").alias("epoch"), shard.cast("int").alias("shard"), place.alias("place"), words.cast("long").alias("words"))
@@ -165,19 +204,19 @@ def _planned(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, shards: i
     return plan, shards, sum(round(t) for t in target.values())
 
 
-def _end(sums, rest: dict[int, int]) -> tuple[dict[int, tuple[int, int]], dict[int, int]]:
-    """For each source the block in which its rest ends and the words wanted of it; the blocks before it."""
-    held: dict[int, list[tuple[int, int]]] = {}
+def _end(sums, rest: dict[int, int], place=lambda s, block: block) -> tuple[dict[int, tuple[int, int]], dict[int, int]]:
+    """For each source the block in which its rest ends and the words wanted of it; the blocks before it, by ``place``."""
+    held: dict[int, list[tuple[int, int, int]]] = {}
     for r in sums:
-        held.setdefault(r.s_no, []).append((r.block, r.w))
+        held.setdefault(r.s_no, []).append((place(r.s_no, r.block), r.block, r.w))
     ends, full = {}, {}
     for s, blocks in held.items():
         left = rest.get(s, 0)
         if left <= 0:
             continue
-        for b, w in sorted(blocks):
+        for at, b, w in sorted(blocks):
             if left <= w:
-                ends[s], full[s] = (b, left), b
+                ends[s], full[s] = (b, left), at
                 break
             left -= w
     return ends, full
