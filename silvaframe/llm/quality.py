@@ -104,19 +104,25 @@ def _normal(mean, scale, directions, shifts):
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Knots (score, value) of the non-decreasing fit by pooling adjacent violators."""
+    """Knots (score, value) of a non-decreasing fit by pooling adjacent violators.
+
+    Half a document of either label at both ends keeps the first and last pool
+    from 0 and 1; it is there before pooling, so the order of pools holds.
+    """
     order = np.argsort(x, kind="stable")
-    pools: list[list[float]] = []  # sum of y, count, sum of x
-    for xi, yi in zip(x[order].tolist(), y[order].tolist(), strict=True):
-        pools.append([yi, 1.0, xi])
+    x, y = x[order], y[order]
+    # sum of y, count, sum of x; equal scores are one pool from the start
+    start = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+    first = np.stack((np.add.reduceat(y, start), np.diff(np.append(start, len(x))), np.add.reduceat(x, start)), 1).astype(float)
+    prior = [[0.5, 1.0, float(x[0])], [0.5, 1.0, float(x[-1])]]
+    pools: list[list[float]] = []
+    for pool in [prior[0], *first.tolist(), prior[1]]:
+        pools.append(pool)
         while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
             s, n, t = pools.pop()
-            pools[-1][0] += s
-            pools[-1][1] += n
-            pools[-1][2] += t
+            pools[-1] = [pools[-1][0] + s, pools[-1][1] + n, pools[-1][2] + t]
     p = np.array(pools)
-    # half a document of either label keeps small pools from 0 and 1
-    return p[:, 2] / p[:, 1], (p[:, 0] + 0.5) / (p[:, 1] + 1.0)
+    return p[:, 2] / p[:, 1], p[:, 0] / p[:, 1]
 
 
 class QualityModel:
