@@ -5,11 +5,11 @@ Native: DataFrame and SQL functions and Spark's own FP-growth only.
 A URL is a set of tokens: scheme, host labels and their parts, path words with
 digits folded, query keys. FP-growth mines token sets of labelled URLs together
 with their label; rules "tokens imply block" are kept if their confidence and
-support reach the bounds and no rule with fewer of the same tokens is as sure.
-To match, each rule is filed under its rarest token only: a URL meets just the
-rules filed under one of its tokens and keeps those whose tokens it all has.
-Rules given by hosts and paths are filed by host the same way and win over
-mined ones.
+support reach the bounds, if so many blocked URLs are not to be expected by
+chance, and if no rule with fewer of the same tokens is as sure. To match, each
+rule is filed under the one of its tokens that is rarest among labelled URLs: a
+URL meets just the rules filed under one of its tokens and keeps those whose
+tokens it all has. Rules given by hosts and paths win over mined ones.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .scratch import written
 
-#: Bounds of mined rules: share of labelled URLs (and at least so many), confidence, lift over the label's share, tokens.
-SUPPORT, LEAST_URLS, CONFIDENCE, LIFT, MOST_TOKENS = 0.002, 6, 0.6, 1.5, 3
+#: Bounds of mined rules: share of labelled URLs (and at least so many), confidence, lift over the label's share (or half the way to certainty, if that is less), standard deviations over what chance gives.
+SUPPORT, LEAST_URLS, CONFIDENCE, LIFT, SURE = 0.002, 6, 0.6, 1.5, 4.0
 BLOCK = "label=block"
 
 
@@ -51,42 +51,43 @@ def tokens_of(url: Column) -> Column:
     return F.when(url.isNotNull() & (F.instr(url, "://") > 0), F.array_distinct(parts)).otherwise(F.array().cast("array<string>"))
 
 
-def mined_rules(labelled: DataFrame, support=SUPPORT, confidence=CONFIDENCE, lift=LIFT, most=MOST_TOKENS) -> DataFrame:
-    """``(tokens, confidence, support)`` of rules that imply block, from ``labelled(url, block)``.
+def mined_rules(labelled: DataFrame, support=SUPPORT, confidence=CONFIDENCE, lift=LIFT, sure=SURE) -> DataFrame:
+    """``(tokens, filed, confidence, support)`` of rules that imply block, from ``labelled(url, block)``; ``filed`` is the rarest token.
 
-    Null urls and labels are left out. Without labels there are no rules.
-    Labelled URLs may be a bounded sample; all that are given are used.
+    Null urls and labels are left out. Without labels, or with labels of one
+    kind only, there are no rules. All labelled URLs that are given are used.
     """
     spark = labelled.sparkSession
     base = labelled.where(F.col("url").isNotNull() & F.col("block").isNotNull()).select(tokens_of(F.col("url")).alias("tokens"), "block")
     base = written(base.where(F.size("tokens") > 0), "labelled-urls")
     n, blocked = base.select(F.count(F.lit(1)), F.count(F.when(F.col("block") == 1, 1))).first()
     if not n or not blocked or blocked == n:
-        return spark.createDataFrame([], "tokens array<string>, confidence double, support double")
-    least = min(1.0, max(support, LEAST_URLS / n))
-    # only tokens of enough blocked URLs can be in a rule; fewer tokens a basket keep the trees small
+        return spark.createDataFrame([], "tokens array<string>, filed string, confidence double, support double")
+    least, share = min(1.0, max(support, LEAST_URLS / n)), blocked / n
+    lift = min(lift, (1 + 1 / share) / 2)
+    # only tokens of enough blocked URLs can be in a rule; they are fewer than those of a URL over the least support
     counted = base.select(F.explode("tokens").alias("token"), "block").groupBy("token").agg(F.sum(F.col("block").cast("long")).alias("k"), F.count(F.lit(1)).alias("all"))
-    useful = counted.where((F.col("k") >= least * n) & (F.col("k") / F.col("all") > lift * blocked / n / 2)).agg(F.collect_list("token").alias("useful"))
+    counted = written(counted.where(F.col("k") >= least * n), "tokens")
+    useful = counted.agg(F.collect_list("token").alias("useful"))
     baskets = base.crossJoin(F.broadcast(useful)).select(F.array_intersect("tokens", "useful").alias("items"), "block")
     baskets = baskets.select(F.when(F.col("block") == 1, F.array_append("items", F.lit(BLOCK))).otherwise(F.col("items")).alias("items"))
     model = FPGrowth(minSupport=least, minConfidence=confidence).fit(baskets)
-    rules = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCK) & (F.size("antecedent") <= most) & (F.col("lift") >= lift))
+    chance = (F.col("support") * n - F.col("urls") * share) / F.sqrt(F.col("urls") * share * (1 - share))
+    rules = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCK) & (F.col("lift") >= lift))
+    rules = rules.withColumn("urls", F.col("support") * n / F.col("confidence")).where(chance >= sure)
     rules = written(rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support"), "rules")
     small = rules.select(F.col("tokens").alias("s"), F.col("confidence").alias("c"))
     # a rule falls to one with fewer of its tokens that is as sure; subsets are met by their first token
     wider = rules.select("tokens", "confidence", F.explode("tokens").alias("t")).join(small.withColumn("t", F.col("s")[0]), "t")
     beaten = wider.where((F.size("s") < F.size("tokens")) & (F.col("c") >= F.col("confidence")) & (F.size(F.array_except("s", "tokens")) == 0)).select("tokens").distinct()
-    return written(rules.join(beaten, "tokens", "left_anti"), "pruned")
+    left = rules.join(beaten, "tokens", "left_anti")
+    rarest = left.select("tokens", F.explode("tokens").alias("token")).join(counted, "token").groupBy("tokens").agg(F.min_by("token", F.struct("all", "token")).alias("filed"))
+    return written(left.join(rarest, "tokens").select("tokens", "filed", "confidence", "support"), "pruned")
 
 
 def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """``(key, confidence)``: for each row of ``urls(key, url)`` that a mined rule matches, the surest one."""
-    spread = rules.select(F.monotonically_increasing_id().alias("rule"), "tokens", "confidence")
-    spread = written(spread, "numbered")
-    one = spread.select("rule", F.explode("tokens").alias("token"))
-    often = one.groupBy("token").agg(F.count(F.lit(1)).alias("k"))
-    rarest = one.join(often, "token").groupBy("rule").agg(F.min_by("token", F.struct("k", "token")).alias("token"))
-    filed = spread.join(rarest, "rule").select("token", "tokens", "confidence")
+    filed = rules.select(F.col("filed").alias("token"), "tokens", "confidence")
     # tokens repeat among URLs, rules are few: the index is joined by token
     met = urls.select("key", tokens_of(F.col("url")).alias("has")).select("key", "has", F.explode("has").alias("token")).join(filed, "token")
     return met.where(F.size(F.array_except("tokens", "has")) == 0).groupBy("key").agg(F.max("confidence").alias("confidence"))
