@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .kernels import U, byte_values, chunks, lean, mix, non_letters, running, shingle_sets, span_hash, word_spans
 from .sample import labelled, rows_where, with_text
+from .scratch import written
 
 #: Labelled documents of the fit, at most about.
 FIT_ROWS = 6000
@@ -183,27 +184,26 @@ class ToxicityModel:
 
     @classmethod
     def fit(cls, docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> ToxicityModel:
-        """Learn from at most about ``rows`` labelled texts; near copies count once (by their least shingle).
+        """Learn from at most about ``rows`` labelled texts; near copies count once (by their least shingle), texts without words too.
 
         Without any toxic or any other label the model scores all texts alike,
         by the share of toxic labels (0.1 if there is none).
         """
         spark = docs.sparkSession
         sample = labelled(labels, "toxic", rows)
-        texts = with_text(docs).join(F.broadcast(sample), F.col("doc_id") == F.col("sample_id")).select("text", "label", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(FOLDS)).cast("int").alias("fold"))
-        once = texts.mapInArrow(lean(_gather), "least long, label int, fold int, units binary").groupBy("least", "label").agg(F.min("units").alias("units"), F.min("fold").alias("fold")).persist()
+        fold = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(FOLDS)).cast("int").alias("fold")
+        texts = written(with_text(docs).join(F.broadcast(sample), F.col("doc_id") == F.col("sample_id")).select("text", "label", fold), "toxic-fit")
+        once = written(texts.mapInArrow(lean(_gather), "least long, label int, fold int, units binary").groupBy("least", "label").agg(F.min("units").alias("units"), F.min("fold").alias("fold")), "toxic-units")
         n = np.zeros((FOLDS, 2))
         for r in once.groupBy("label", "fold").count().collect():
             n[r.fold, r.label] = r["count"]
         if not n.sum(0).all():
-            once.unpersist()
             share = n[:, 1].sum() / n.sum() if n.sum() else 0.1
             share = min(max(share, 0.01), 0.99)
             return cls(np.zeros(0, U), np.zeros(0), 1.0, np.array([math.log(share / (1 - share)), 0.0, 0.0]))
         counts = once.mapInArrow(lean(_count), "unit long, fold int, toxic long, other long").groupBy("unit")
         sums = [F.sum(F.when(F.col("fold") == f, F.col(c)).otherwise(0)).alias(f"{c}{f}") for c in ("toxic", "other") for f in range(FOLDS)]
         got = counts.agg(*sums).where(sum(F.col(f"toxic{f}") for f in range(FOLDS)) >= min(SEEN, max(1, int(n[:, 1].sum()) // 8))).toPandas()
-        once.unpersist()
         unit = got.unit.to_numpy().view(U)
         toxic, other = (got[[f"{c}{f}" for f in range(FOLDS)]].to_numpy(float) for c in ("toxic", "other"))
         model = cls(*cls._table(unit, toxic.sum(1), other.sum(1), *n.sum(0)[::-1]), np.array([-3.0, 0.5, 0.5]))
