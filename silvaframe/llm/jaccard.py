@@ -5,22 +5,31 @@
    How often a token occurs is counted for a fixed part of the tokens, chosen
    by hash: those that occur once come first (they can't be shared, so they
    need not be sent back), then the others of that part by count, then the
-   rest by hash. A text that has enough tokens of its own is done here.
+   rest by hash. A text that has enough tokens of its own is done here. Counts
+   over ``MANY`` are all alike: a task that meets a token so often sends its
+   texts their answer at once, so no token gathers in one place.
 2. Families. Texts that share a prefix token are tied to one of them (a star,
    never all pairs), and the components of these ties are families of similar
    texts. A passage that many texts share comes late in the order, so it ties
    only texts that have little else.
-3. Token-group matrix. A family is cut into blocks of bounded size; a pair of
-   blocks is one unit of work. Within it similar texts form groups; the matrix
+3. Token-group matrix. A family is cut into blocks of bounded size; a block is
+   one unit of work. Within it similar texts form groups; the matrix
    holds each group's token union. For each text, postings of its tokens count
    the overlap with every group; an overlap under t % of the text's own size
    rules out every member. Only groups that may qualify and are not yet wholly
-   in the text's class are opened, and members compared exactly.
-4. Links found are kept as union-find forests per unit; families of more than
-   one block are joined by another run of components.
+   in the text's class are opened: postings of that group alone are counted, and
+   its members compared exactly.
+4. Large families. A few texts of each block's largest class stand for it and
+   are linked in ever larger bundles of blocks, so that a large group of near
+   copies becomes one class at little cost. What then is outside a family's
+   largest class meets every block of the family, as the queries of a unit; so
+   no pair that might link is left out, and a text is copied once for each
+   block of such outsiders only.
+5. Links found are kept as union-find forests per unit, joined by components.
 
 Nothing is capped: memory is bounded by the block size, and equal sets are one
-representative from the start.
+representative from the start. Words, shingles and whole sets are 64-bit hashes;
+what is exact holds but for their collisions.
 """
 
 from __future__ import annotations
@@ -33,16 +42,20 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .components import components
 from .kernels import U, byte_values, chunks, lean, mix, shingle_sets, spaces, word_hashes
-from .scratch import text_batches, written
+from .scratch import counted as written_counted, text_batches, written
 
-#: Texts of one family that one unit of work holds, twice.
-BLOCK = 2048
+#: Texts of one family that one unit of work holds, twice; texts that stand for a block, and blocks of a bundle.
+BLOCK, STAND, BUNDLE = 256, 16, 16
 #: Texts whose token union is one row of the matrix.
 GROUP = 32
 #: Tokens that a task gathers before it sends them out.
 FLUSH = 2_000_000
-#: Bits of the filter that says which texts belong to a family of two or more.
-FILTER_BITS = 1 << 24
+#: Bits of the filter that says which texts belong to a family of two or more: for each of them, at least, at most.
+BITS_EACH, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 29
+#: Texts of a token up to which it is counted exactly; sets that a task remembers.
+MANY, REMEMBERED = 256, 1_000_000
+#: Bytes of stored input of one shuffle partition, about.
+PART_BYTES = 32 << 20
 #: Keys with more than this share of the rows are looked up by broadcast; there are fewer than one over it.
 HOT = 1 / 1000
 
@@ -76,8 +89,10 @@ def _sets(column, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
 
 _BLOBS = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 _BLOBS_SQL = "bucket int, kind int, a binary, b binary, c binary"
-#: Kinds of blobs: counted tokens, sizes, prefix tokens that are not counted, shared tokens, prefix tokens.
-COUNTED, SIZES, REST, SHARED, PREFIX = range(5)
+#: Kinds of blobs: counted tokens, sizes, prefix tokens, shared tokens, ties.
+COUNTED, SIZES, PREFIX, SHARED, TIE = range(5)
+#: Stands for a text where a token is known to have more than ``MANY``.
+MARK = np.zeros(1, U)
 
 
 def _dealt(kind: int, key: np.ndarray, buckets: int, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -94,17 +109,43 @@ def _dealt(kind: int, key: np.ndarray, buckets: int, *columns: np.ndarray) -> It
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), kind, np.int32)), *blobs], schema=_BLOBS)
 
 
+def _tied(token: np.ndarray, node: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Texts with the same prefix token tied to the first of them here, which alone is sent on with the token."""
+    token, node = _distinct(token, node)
+    first = np.ones(len(token), bool)
+    first[1:] = token[1:] != token[:-1]
+    at = np.flatnonzero(first)
+    head = np.repeat(node[at], np.diff(np.append(at, len(token))))
+    if not first.all():
+        a, b = _distinct(node[~first], head[~first])
+        yield from _dealt(TIE, a, buckets, a, b)
+    yield from _dealt(PREFIX, token[at], buckets, token[at], node[at])
+
+
 def _sign(n: int, percent: int, buckets: int):
     """Counted tokens of each text, its size and, if those are too few, what else its prefix has."""
 
     def run(batches):
         held: list[tuple[np.ndarray, np.ndarray]] = []
+        rest_held: list[tuple[np.ndarray, np.ndarray]] = []
+        size_held: list[tuple[np.ndarray, np.ndarray]] = []
         seen: set[int] = set()
 
         def flush():
             tokens, nodes = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
+            _, back, often = np.unique(tokens, return_inverse=True, return_counts=True)
+            many = often[back] > MANY
+            if many.any():
+                known = np.unique(tokens[many])
+                yield from _dealt(COUNTED, known, buckets, known, np.repeat(MARK, len(known)))
+                yield from _dealt(SHARED, nodes[many], buckets, tokens[many], nodes[many], np.full(many.sum(), MANY + 1, U))
+                tokens, nodes = tokens[~many], nodes[~many]
             yield from _dealt(COUNTED, tokens, buckets, tokens, nodes)
+            yield from _tied(*(np.concatenate(x) for x in zip(*rest_held, strict=True)), buckets)
+            h, size = (np.concatenate(x) for x in zip(*size_held, strict=True))
+            yield from _dealt(SIZES, h, buckets, h, size)
+            for x in (held, rest_held, size_held):
+                x.clear()
 
         waiting = 0
         for batch in batches:
@@ -115,22 +156,20 @@ def _sign(n: int, percent: int, buckets: int):
                     if x and x not in seen:
                         seen.add(x)
                         new[i] = True
-                if len(seen) > 1_000_000:
+                if len(seen) > REMEMBERED:
                     seen.clear()
                 of = np.repeat(np.arange(len(count)), count)
                 keep = new[of]
                 tokens, of = tokens[keep], of[keep]
                 some = counted(tokens, percent)
                 held.append((tokens[some], h[of[some]]))
-                waiting += int(some.sum())
                 n_some = np.bincount(of[some], minlength=len(count))
                 lack = np.where(new, prefix_size(count, percent) - n_some, 0)
                 rest, of = tokens[~some], of[~some]
                 first = np.arange(len(of)) - np.searchsorted(of, of) < lack[of]  # tokens of a set are in order of hash
-                if first.any():
-                    yield from _dealt(REST, rest[first], buckets, rest[first], h[of[first]])
-                if new.any():
-                    yield from _dealt(SIZES, h[new], buckets, h[new], (count[new].astype(U) << U(32)) | n_some[new].astype(U))
+                rest_held.append((rest[first], h[of[first]]))
+                size_held.append((h[new], (count[new].astype(U) << U(32)) | n_some[new].astype(U)))
+                waiting += int(some.sum())
                 if waiting > FLUSH:
                     yield from flush()
                     waiting = 0
@@ -177,9 +216,9 @@ def _share(buckets: int):
         passed: list[pa.RecordBatch] = []
         for found in _buckets(batches, (COUNTED,), passed):
             token, node = _distinct(*found[COUNTED])
-            _, back, often = np.unique(token, return_inverse=True, return_counts=True)
-            often = often[back]
-            more = often > 1
+            _, first, back, often = np.unique(token, return_index=True, return_inverse=True, return_counts=True)
+            often = np.minimum(np.where(node[first] == MARK, MANY + 1, often), MANY + 1)[back]
+            more = (often > 1) & (node != MARK)
             yield from _dealt(SHARED, node[more], buckets, token[more], node[more], often[more].astype(U))
             yield from passed
             passed.clear()
@@ -196,16 +235,19 @@ def _prefix(percent: int, buckets: int):
         for found in _buckets(batches, (SIZES, SHARED), passed):
             if SHARED in found:
                 token, node, often = found[SHARED]
-                known, size = _distinct(*found[SIZES])
                 order = np.lexsort((token, often, node))
                 token, node = token[order], node[order]
+                new = np.ones(len(node), bool)  # two tasks may have sent a text the same answer
+                new[1:] = (node[1:] != node[:-1]) | (token[1:] != token[:-1])
+                token, node = token[new], node[new]
+                known, size = _distinct(*found[SIZES])
                 at = np.searchsorted(known, node)
                 rank = np.arange(len(node)) - np.searchsorted(node, node)
                 shared = np.bincount(at, minlength=len(known))
                 n, n_counted = (size >> U(32)).astype(np.int64), (size & U(0xFFFFFFFF)).astype(np.int64)
                 keep = (n_counted - shared)[at] + rank < prefix_size(n, percent)[at]
                 if keep.any():
-                    yield from _dealt(PREFIX, token[keep], buckets, token[keep], node[keep])
+                    yield from _tied(token[keep], node[keep], buckets)
             yield from passed
             passed.clear()
         yield from passed
@@ -215,28 +257,44 @@ def _prefix(percent: int, buckets: int):
 
 def _tie(batches):
     """Each text tied to the first text with the same prefix token."""
-    for found in _buckets(batches, (REST, PREFIX), []):
-        token, node = _distinct(*(np.concatenate(x) for x in zip(*found.values(), strict=True)))
-        first = np.ones(len(token), bool)
-        first[1:] = token[1:] != token[:-1]
-        at = np.flatnonzero(first)
-        head = np.repeat(node[at], np.diff(np.append(at, len(token))))
-        tie = head != node
-        a, b = _distinct(node[tie], head[tie])
+    for found in _buckets(batches, (PREFIX, TIE), []):
+        pairs = [found[TIE]] if TIE in found else []
+        if PREFIX in found:
+            token, node = _distinct(*found[PREFIX])
+            first = np.ones(len(token), bool)
+            first[1:] = token[1:] != token[:-1]
+            at = np.flatnonzero(first)
+            head = np.repeat(node[at], np.diff(np.append(at, len(token))))
+            pairs.append([node[head != node], head[head != node]])
+        a, b = _distinct(*(np.concatenate(x) for x in zip(*pairs, strict=True)))
         yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
 
-def _spot(h: np.ndarray) -> np.ndarray:
-    return (mix(h) >> U(40)).astype(np.int64) & (FILTER_BITS - 1)
+def _spot(h: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(h) >> U(20)).astype(np.int64) & (bits - 1)
 
 
-def _bits(batches):
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for batch in batches:
-        if batch.num_rows:
-            s = _spot(batch.column(0).to_numpy().view(U))
-            np.bitwise_or.at(out, s >> 3, (1 << (s & 7)).astype(np.uint8))
-    yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["bits"])
+def _bits(bits: int):
+    def run(batches):
+        out = np.zeros(bits // 8, np.uint8)
+        for batch in batches:
+            if batch.num_rows:
+                s = _spot(batch.column(0).to_numpy().view(U), bits)
+                np.bitwise_or.at(out, s >> 3, (1 << (s & 7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["bits"])
+
+    return run
+
+
+def _family_filter(family: DataFrame, members: int) -> np.ndarray:
+    """A filter of the hashes in ``family(node)``, ``BITS_EACH`` bits for each; beyond ``MOST_BITS`` it lets more texts pass, which costs but changes nothing."""
+    bits = LEAST_BITS
+    while bits < min(members * BITS_EACH, MOST_BITS):
+        bits *= 2
+    out = np.zeros(bits // 8, np.uint8)
+    for row in family.select("node").coalesce(8).mapInArrow(lean(_bits(bits)), "bits binary").toLocalIterator():
+        out |= np.frombuffer(row.bits, np.uint8)
+    return out
 
 
 def _measured(n: int, bits):
@@ -244,12 +302,13 @@ def _measured(n: int, bits):
 
     def run(batches):
         wanted = np.frombuffer(bits.value, np.uint8)
+        space = len(wanted) * 8
         sent: set[int] = set()
         for batch in batches:
             ids, row = batch.column(1), batch.column(2)
             for tokens, count, lo, hi in _sets(batch.column(0), n):
                 h = set_hash(tokens, count)
-                s = _spot(h)
+                s = _spot(h, space)
                 hit = (wanted[s >> 3] >> (s & 7).astype(np.uint8) & 1).astype(bool) & (count > 0)
                 at = np.concatenate(([0], np.cumsum(count)))
                 sets = []
@@ -258,7 +317,7 @@ def _measured(n: int, bits):
                     if once:
                         sent.add(x)
                     sets.append(tokens[at[i] : at[i + 1]].tobytes() if once else None)
-                if len(sent) > 1_000_000:
+                if len(sent) > REMEMBERED:
                     sent.clear()
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), row.slice(lo, hi - lo), pa.array(count, pa.int64()), pa.array(h.view(np.int64)), pa.array(sets, pa.binary())], schema=schema)
 
@@ -289,35 +348,38 @@ class _Classes:
         return self.up
 
 
-def matrix_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def matrix_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Root of each set's class, and how many groups were opened and members compared.
 
     Sets marked ``left`` are the queries, those marked ``right`` the members of
-    groups. Links between a query and a member decide the classes.
+    groups. Links between a query and a member decide the classes; sets with
+    the same ``known`` label are one class from the start.
     """
     n = len(sets)
     size = np.array([len(s) for s in sets])
     classes = _Classes(n)
+    if known is not None:
+        _, first, label = np.unique(known, return_index=True, return_inverse=True)
+        classes.up = first[label]
     members = np.flatnonzero(right)
     if not len(members) or not left.any():
         return classes.up, np.zeros(2, int)
     members = members[np.lexsort((members, size[members], [int(sets[i][0]) for i in members]))]
-    flat = np.concatenate([sets[i] for i in members])
     place = np.repeat(np.arange(len(members)), size[members])
-    vocabulary, token = np.unique(flat, return_inverse=True)
+    vocabulary, token = np.unique(np.concatenate([sets[i] for i in members]), return_inverse=True)
     n_groups = -(-len(members) // GROUP)
-    cell = np.unique(token * n_groups + place // GROUP)  # the matrix, by token
+    group = np.arange(len(members)) // GROUP
+    cell, shared = np.unique(token * n_groups + place // GROUP, return_counts=True)  # the matrix, by token
     by_token, group_of_cell = cell // n_groups, cell % n_groups
     first_cell = np.searchsorted(by_token, np.arange(len(vocabulary) + 1))
-    order = np.argsort(token, kind="stable")
-    posting = place[order]
-    first_posting = np.searchsorted(token[order], np.arange(len(vocabulary) + 1))
+    # postings of each group alone, by its tokens
+    order = np.lexsort((token, place // GROUP))
+    posting_token, posting = token[order], place[order]
+    first_posting = np.searchsorted(posting // GROUP, np.arange(n_groups + 1))
+    own = np.full(n, -1)
+    own[members] = group
     opened = compared = 0
 
-    def gathered(values, first, known):
-        a, b = first[known], first[known + 1]
-        return values[np.repeat(a - np.concatenate(([0], np.cumsum(b - a)[:-1])), b - a) + np.arange((b - a).sum())]
-
     for q in np.flatnonzero(left).tolist():
         mine = sets[q]
         at = np.searchsorted(vocabulary, mine)
@@ -326,55 +388,74 @@ def matrix_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, pe
         need = -(-percent * size[q] // 100)
         if len(known) < need:
             continue
-        bound = np.bincount(gathered(group_of_cell, first_cell, known), minlength=n_groups)
+        a, b = first_cell[known], first_cell[known + 1]
+        cells = np.repeat(a - np.cumsum(b - a) + (b - a), b - a) + np.arange((b - a).sum())
+        bound = np.bincount(group_of_cell[cells], minlength=n_groups)
+        if own[q] >= 0:  # in its own group a text meets the tokens of the others only
+            bound[own[q]] = (shared[cells[group_of_cell[cells] == own[q]]] > 1).sum()
         may = bound >= need
         if not may.any():
             continue
-        flat_roots = classes.flat()
-        other = flat_roots[members] != flat_roots[q]
-        may &= np.bincount(np.arange(len(members)) // GROUP, weights=other, minlength=n_groups) > 0
-        if not may.any():
-            continue
-        opened += int(may.sum())
-        near = gathered(posting, first_posting, known)
-        common = np.bincount(near, minlength=len(members))
-        open_ = may[np.arange(len(members)) // GROUP] & other
-        compared += int(open_.sum())
-        linked = open_ & (100 * common >= percent * (size[q] + size[members] - common))
-        for j in members[linked].tolist():
-            classes.join(q, j)
+        roots = classes.flat()
+        for g in np.flatnonzero(may).tolist():
+            lo, hi = g * GROUP, min((g + 1) * GROUP, len(members))
+            other = np.flatnonzero(roots[members[lo:hi]] != roots[q]) + lo
+            if not len(other):
+                continue
+            opened += 1
+            compared += len(other)
+            some = posting_token[first_posting[g] : first_posting[g + 1]]
+            hit = known[np.minimum(np.searchsorted(known, some), len(known) - 1)] == some
+            common = np.bincount(posting[first_posting[g] : first_posting[g + 1]][hit] - lo, minlength=hi - lo)[other - lo]
+            linked = 100 * common >= percent * (size[q] + size[members[other]] - common)
+            for j in members[other[linked]].tolist():
+                classes.join(q, j)
     return classes.flat(), np.array([opened, compared])
 
 
-def _open(percent: int):
-    schema = pa.schema([("h", pa.int64()), ("root", pa.int64()), ("family", pa.int64()), ("split", pa.bool_())])
+_OPENED = "h long, root long, family long, cell int, tokens binary"
+
 
-    def unit(rows, family, split):
-        hs, tokens, left, right = (list(x) for x in zip(*rows, strict=True))
-        h = np.array(hs)
-        order = np.argsort(h, kind="stable")
-        root, _ = matrix_links([tokens[i] for i in order], np.array(left)[order], np.array(right)[order], percent)
-        h = h[order]
-        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(h[root]), pa.array(np.full(len(h), family)), pa.array(np.full(len(h), split))], schema=schema)
+def _open(percent: int, stand: bool):
+    """The classes of each unit; with ``stand`` the tokens of a few texts of its largest class go on with it, unless the unit is a whole family (``y`` is null)."""
+    schema = pa.schema([("h", pa.int64()), ("root", pa.int64()), ("family", pa.int64()), ("cell", pa.int32()), ("tokens", pa.binary())])
+
+    def unit(rows, family, cell):
+        order = sorted(rows)
+        sets, left, right, known = (list(x) for x in zip(*(rows[h] for h in order), strict=True))
+        h = np.array(order)
+        root, _ = matrix_links([np.frombuffer(t, U) for t in sets], np.array(left), np.array(right), percent, np.array(known))
+        on: list[bytes | None] = [None] * len(h)
+        if cell is not None and stand:
+            most = np.bincount(root).argmax()
+            of = np.flatnonzero(root == most)
+            for i in of[np.unique(np.linspace(0, len(of) - 1, STAND).astype(int))].tolist():
+                on[i] = sets[i]
+        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(h[root]), pa.array(np.full(len(h), family)), pa.array([cell] * len(h), pa.int32()), pa.array(on, pa.binary())], schema=schema)
 
     def run(batches):
         now, rows = None, {}
         for batch in batches:
-            cols = [batch.column(i) for i in range(7)]
-            for family, x, y, h, tokens, block, split in zip(*(c.to_pylist() for c in cols[:4]), cols[4], *(c.to_pylist() for c in cols[5:]), strict=True):
-                key = (family, x, y, split)
+            for family, x, y, h, tokens, left, right, known in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
+                key = (family, x, y)
                 if key != now:
                     if rows:
-                        yield unit(rows.values(), now[0], now[3])
+                        yield unit(rows, now[0], now[2])
                     now, rows = key, {}
-                if h not in rows:
-                    rows[h] = (h, np.frombuffer(tokens.as_buffer(), U), block == x, block == y)
+                old = rows.get(h, (tokens, False, False, known))
+                rows[h] = (old[0], old[1] or left, old[2] or right, known)
         if rows:
-            yield unit(rows.values(), now[0], now[3])
+            yield unit(rows, now[0], now[2])
 
     return run
 
 
+def _opened(units: DataFrame, parts: int, percent: int, stand: bool, name: str) -> DataFrame:
+    """Classes of ``units(family, x, y, h, tokens, left, right, known)``, written."""
+    units = units.select("family", "x", "y", "h", "tokens", "left", "right", "known")
+    return written(units.repartition(parts, "family", "x", "y").sortWithinPartitions("family", "x", "y").mapInArrow(lean(_open(percent, stand)), _OPENED), name)
+
+
 def _row() -> Column:
     """Tells rows apart that differ in doc_id or text."""
     return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -392,34 +473,74 @@ def _looked_up(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataF
     return rows.join(few, key).unionByName(rest)
 
 
+def _partitions(docs: DataFrame) -> int:
+    """Partitions of the session, or as many more as the stored size of ``docs`` asks for where Spark knows it."""
+    stored = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(stored, 1 << 50) // PART_BYTES if stored < 1 << 50 else 0)
+
+
+def _classes(texts: DataFrame, family: DataFrame, parts: int, percent: int) -> DataFrame:
+    """``(node, root)`` of each text that is linked to another, from ``texts(h, tokens)`` and ``family(node, root)``."""
+    large = written(family.groupBy("root").agg(F.count(F.lit(1)).alias("weight")).where(F.col("weight") > BLOCK), "large")
+    total, most = large.agg(F.sum("weight"), F.max("weight")).first()
+    yes = F.lit(True)
+    if not most:
+        member = family.select(F.col("node").alias("h"), F.col("root").alias("family"), F.lit(0).alias("x"), F.lit(None).cast("int").alias("y"))
+        local = _opened(texts.join(member, "h").withColumns({"left": yes, "right": yes, "known": F.col("h")}), parts, percent, False, "local")
+        return local.where("h <> root").select(F.col("h").alias("node"), "root")
+
+    blocks = F.ceil(F.col("weight") / BLOCK).cast("int")
+    sized = _looked_up(family, large.select("root", blocks.alias("blocks"), "weight"), "root", total)
+    cell = F.pmod(F.xxhash64("node"), "blocks").cast("int")  # null in small families
+    member = sized.select(F.col("node").alias("h"), F.col("root").alias("family"), F.coalesce(cell, F.lit(0)).alias("x"), cell.alias("y"))
+    local = _opened(texts.join(member, "h").withColumns({"left": yes, "right": yes, "known": F.col("h")}), parts, percent, True, "local")
+    apart = local.where("cell is null and h <> root").select(F.col("h").alias("node"), "root")
+    inside = local.where("cell is not null")
+    edges = inside.where("h <> root").select(F.col("h").alias("a"), F.col("root").alias("b"))
+    stand, cells = inside.where("tokens is not null"), -(-most // BLOCK)
+    while cells > 1:
+        cells = -(-cells // BUNDLE)
+        cell = F.floor(F.col("cell") / BUNDLE).cast("int")
+        stand = _opened(stand.select("family", "h", "tokens", cell.alias("x"), cell.alias("y"), yes.alias("left"), yes.alias("right"), F.col("root").alias("known")), parts, percent, True, "bundles").where("tokens is not null or h <> root")
+        edges = edges.unionByName(stand.where("h <> root").select(F.col("h").alias("a"), F.col("root").alias("b")))
+        stand = stand.where("tokens is not null")
+    merged = written(components(edges, "merged"), "merged")
+
+    # what is outside the largest class of its family meets every block
+    placed = inside.select("h", "family", "cell").join(merged, F.col("h") == F.col("node"), "left").select("h", "family", F.col("cell").alias("block"), F.coalesce("root", "h").alias("class"))
+    placed = written(placed, "placed")
+    main = placed.groupBy("family", "class").agg(F.count(F.lit(1)).alias("k")).groupBy("family").agg(F.max(F.struct("k", "class")).alias("top"), F.sum("k").alias("weight"))
+    main = written(main.select("family", F.col("top.class").alias("main"), "weight", (F.col("weight") - F.col("top.k")).alias("others")).where("others > 0"), "main")
+    if main.isEmpty():
+        return apart.unionByName(merged.where("node <> root"))
+    main = main.withColumns({"rows": F.ceil(F.col("others") / BLOCK).cast("int"), "blocks": blocks})
+    open_ = _looked_up(placed, main, "family", total).where("main is not null").join(texts.groupBy("h").agg(F.first("tokens").alias("tokens")), "h")
+    own = F.when(F.col("class") != F.col("main"), F.pmod(F.xxhash64("h", F.lit(2)), "rows").cast("int"))
+    every = open_.select("family", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("x"), F.col("block").alias("y"), "h", "tokens", F.lit(False).alias("left"), yes.alias("right"), F.col("class").alias("known"))
+    asked = open_.where(own.isNotNull()).select("family", own.alias("x"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y"), "h", "tokens", yes.alias("left"), F.lit(False).alias("right"), F.col("class").alias("known"))
+    more = _opened(every.unionByName(asked), parts, percent, False, "outside")
+    links = more.where("h <> root").select(F.col("h").alias("a"), F.col("root").alias("b"))
+    ends = components(links.unionByName(merged.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))), "ends")
+    return apart.unionByName(ends.where("node <> root"))
+
+
 def _firsts(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """``(doc_id, row, n_shingles, h, first)``: ``first`` has the id and row of the least id of each class with more than one row."""
     spark = docs.sparkSession
     text_batches(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = _partitions(docs)
     texts = docs.select(F.col("text").cast("string").alias("text"))
     blobs = texts.mapInArrow(lean(_sign(n, percent, parts)), _BLOBS_SQL)
     for step in (_share(parts), _prefix(percent, parts)):
         blobs = blobs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(step), _BLOBS_SQL)
     ties = written(blobs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(_tie), "a long, b long"), "ties")
-    family = written(components(ties, "families"), "family")
-    masks = family.select("node").coalesce(16).mapInArrow(lean(_bits), "bits binary").collect()
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for row in masks:
-        bits |= np.frombuffer(row.bits, np.uint8)
-    held = spark.sparkContext.broadcast(bits.tobytes())
-    rows = written(docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), _row().alias("row")).mapInArrow(lean(_measured(n, held)), "doc_id long, row long, n_shingles long, h long, tokens binary"), "rows")
-
-    blocks = family.groupBy("root").agg(F.count(F.lit(1)).alias("k")).select("root", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
-    member = family.join(blocks, "root").select("node", F.col("root").alias("family"), "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"))
-    found = rows.where("tokens is not null").select("h", "tokens").join(member, F.col("h") == F.col("node"))
-    # a block pair (x, y), x <= y, is one unit; a text of block k goes to (k, y >= k) and (x <= k, k)
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    units = found.select("family", "h", "tokens", "block", (F.col("blocks") > 1).alias("split"), other).select("family", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "h", "tokens", "block", "split")
-    units = units.repartition(parts, "family", "x", "y").sortWithinPartitions("family", "x", "y")
-    local = written(units.mapInArrow(lean(_open(percent)), "h long, root long, family long, split boolean"), "local")
-    split = components(local.where("split and h <> root").select(F.col("h").alias("a"), F.col("root").alias("b")), "split")
-    classes = local.where("not split and h <> root").select(F.col("h").alias("node"), "root").unionByName(split.where("node <> root"))
+    family, members = written_counted(components(ties, "families"), "family")
+    held = spark.sparkContext.broadcast(_family_filter(family, members).tobytes())
+    rows, total = written_counted(docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), _row().alias("row")).mapInArrow(lean(_measured(n, held)), "doc_id long, row long, n_shingles long, h long, tokens binary"), "rows")
+    held.destroy()
+
+    texts = rows.where("tokens is not null").select("h", "tokens")
+    classes = _classes(texts, family, parts, percent)
 
     # one row for each text, then for each class: copies are counted before anything is dealt by class
     rows = rows.select("doc_id", "row", "n_shingles", "h")
@@ -428,7 +549,6 @@ def _firsts(docs: DataFrame, n: int, percent: int) -> DataFrame:
     texts = written(texts.select("h", "first", "k", F.coalesce("root", "h").alias("class")), "texts")
     firsts = texts.groupBy("class").agg(F.min("first").alias("first"), F.sum("k").alias("rows"), F.count(F.lit(1)).alias("weight")).where("rows > 1")
     firsts = written(firsts.select("class", "first", "weight"), "firsts")
-    total = rows.count()
     by_text = _looked_up(texts.select("h", "k", "class"), firsts, "class", total)
     by_text = written(by_text.where("first is not null").select("h", F.col("k").alias("weight"), "first"), "by-text")
     alone = rows.where("n_shingles = 0").withColumn("first", F.lit(None).cast(by_text.schema["first"].dataType))

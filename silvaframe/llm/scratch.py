@@ -7,10 +7,11 @@ again reads the table, never a block that lived on one executor.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 _FOLDERS: dict[str, list[str]] = {}
 
@@ -52,17 +53,45 @@ def text_batches(spark: SparkSession) -> None:
 
 
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read back."""
+    """``df`` written as Parquet in the shared folder and read back.
+
+    What came before is no longer needed then: the driver collects its garbage,
+    so that Spark drops the shuffle files and broadcasts of the lineage that was
+    cut, on all machines. The table goes with ``clear``, or when the session ends.
+    """
     spark = df.sparkSession
     path = f"{root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     _FOLDERS.setdefault("written", []).append(path)
+    _of(spark, path)[0].deleteOnExit(_of(spark, path)[1])
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear(spark: SparkSession) -> None:
-    """Delete every table that ``written`` left; call it once results are stored."""
-    jvm = spark.sparkContext._jvm
-    for path in _FOLDERS.pop("written", []):
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+def _of(spark: SparkSession, path: str):
+    """The file system of a path, and the path."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """``df`` written, and its rows, counted on the way."""
+    seen = Observation()
+    return written(df.observe(seen, F.count(F.lit(1)).alias("n")), name), seen.get["n"]
+
+
+def mark() -> int:
+    """How many tables ``written`` has left so far; tables before a mark stay if ``clear`` is given it."""
+    return len(_FOLDERS.get("written", []))
+
+
+def clear(spark: SparkSession, keep: tuple[DataFrame, ...] = (), since: int = 0) -> None:
+    """Delete every table that ``written`` left after the mark ``since``, but for those that ``keep`` reads; call it once results are stored."""
+    read = [f for df in keep for f in df.inputFiles()]
+    tables = _FOLDERS.get("written", [])
+    for path in tables[since:]:
+        if not any(f"/{path.rsplit('/', 1)[-1]}/" in f for f in read):
+            files, where = _of(spark, path)
+            files.delete(where, True)
+            tables.remove(path)
