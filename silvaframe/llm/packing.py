@@ -14,6 +14,8 @@ plus the counts of the tasks before. No task ever holds all pieces of a length.
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from pathlib import Path
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -151,16 +153,16 @@ def slots(plan: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 4)
 
 
-_PIECES = "doc_id long, piece int, start long, length long, ids binary, part int, local long"
+_PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long, ids binary, part int, local long"
 
 
-def _pieces(path: str, length: int, end: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("part", pa.int32()), ("local", pa.int64())])
+def _pieces(key: str, held, length: int, end: int, with_ids: bool):
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary()), ("part", pa.int32()), ("local", pa.int64())])
 
     def run(batches):
-        encode = worker_tokens(path).texts
+        encode = worker_tokens(key, held).texts
         part = TaskContext.get().partitionId()
-        seen = np.zeros(length + 1, np.int64)
+        seen, rows = np.zeros(length + 1, np.int64), part << 40
         for batch in batches:
             for data, starts, ends, lo, hi in chunks(batch.column(0), 1 << 19):
                 ids, count = encode(data, starts, ends)
@@ -169,8 +171,10 @@ def _pieces(path: str, length: int, end: int):
                 k = -(-count // length)
                 doc, piece = np.repeat(np.arange(hi - lo), k), _counts(k)
                 size = np.minimum(length, count[doc] - piece * length)
-                at = np.concatenate(([0], np.cumsum(size)))
+                at = np.concatenate(([0], np.cumsum(size))) * 4
                 raw = flat.tobytes()
+                view = memoryview(raw)
+                crc = [crc32(view[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 order = np.argsort(size, kind="stable")
                 rank = np.empty(len(size), np.int64)
                 per = np.bincount(size, minlength=length + 1)
@@ -178,11 +182,12 @@ def _pieces(path: str, length: int, end: int):
                 local = seen[size] + rank
                 seen += per
                 # binary arrays take their bytes from one buffer, cut at the pieces' bounds
-                binary = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer((at * 4).tobytes()), pa.py_buffer(raw)]).cast(pa.binary())
+                binary = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(raw)]).cast(pa.binary()) if with_ids else pa.nulls(len(size), pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(1).slice(lo, hi - lo).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(piece * length), pa.array(size), binary, pa.array(np.full(len(size), part, np.int32)), pa.array(local)],
+                    [batch.column(1).slice(lo, hi - lo).take(pa.array(doc)), pa.array(rows + doc), pa.array(piece, pa.int32()), pa.array(piece * length), pa.array(size), pa.array(crc, pa.int64()), binary, pa.array(np.full(len(size), part, np.int32)), pa.array(local)],
                     schema=schema,
                 )
+                rows += hi - lo
 
     return run
 
@@ -205,10 +210,12 @@ def _place(held):
 def packed(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = 0, with_ids: bool = True) -> DataFrame:
     """Every text's tokens, in sequences of at most ``length``: one row for each piece.
 
-    Columns ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``
-    and, ``with_ids``, ``ids`` (little-endian unsigned 32-bit). A text gives its
-    ids by the tokenizer file and then ``end``; only a text longer than a
-    sequence is cut, into full sequences and a rest.
+    Columns ``doc_id, row, piece, start, length, ids_crc32, sequence_id,
+    offset`` and, ``with_ids``, ``ids`` (little-endian unsigned 32-bit). A text
+    gives its ids by the tokenizer file, which is read on the driver and sent
+    to the executors, and then ``end``; only a text longer than a sequence is
+    cut, into full sequences and a rest. ``row`` tells rows of ``docs`` apart,
+    also those with the same doc_id.
 
     Null text counts as empty and gives one piece of ``end`` alone. Null and
     repeated doc_ids are kept, each row's pieces on their own. Other columns are
@@ -218,7 +225,10 @@ def packed(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = 0,
     spark = docs.sparkSession
     text_batches(spark)
     texts = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
-    pieces = written(texts.mapInArrow(lean(_pieces(tokenizer, length, end)), _PIECES), "pieces")
+    file = Path(tokenizer).read_text(encoding="utf-8")
+    held = spark.sparkContext.broadcast(file)
+    pieces = written(texts.mapInArrow(lean(_pieces(str(crc32(file.encode())), held, length, end, with_ids)), _PIECES), "pieces")
+    held.destroy()
     counts = written(pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")), "lengths")
     histogram = np.zeros(length + 1, np.int64)
     for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():
@@ -226,7 +236,7 @@ def packed(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = 0,
     table = spark.sparkContext.broadcast(slots(pattern_plan(histogram, length)))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     ahead = counts.select(F.col("length").alias("of"), F.col("part").alias("in_part"), F.coalesce(before, F.lit(0)).alias("ahead"))
-    small = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), *(["ids"] if with_ids else []), "part", "local")
-    ranked = small.join(ahead, (F.col("length") == F.col("of")) & (F.col("part") == F.col("in_part"))).select("doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else []), (F.col("local") + F.col("ahead")).alias("rank"))
-    columns = "doc_id long, piece int, start long, length long, ids_crc32 long, " + ("ids binary, " if with_ids else "") + "sequence_id long, offset long"
+    carry = ["doc_id", "row", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
+    ranked = pieces.join(ahead, (F.col("length") == F.col("of")) & (F.col("part") == F.col("in_part"))).select(*carry, (F.col("local") + F.col("ahead")).alias("rank"))
+    columns = "doc_id long, row long, piece int, start long, length long, ids_crc32 long, " + ("ids binary, " if with_ids else "") + "sequence_id long, offset long"
     return ranked.mapInArrow(lean(_place(table)), columns)

@@ -26,11 +26,11 @@ ONE_UNIT = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[!-&(-/:-@\[-`{-~]+")
 class WordTokens:
     """Ids of texts by ``tokenizers``, equal to ``encode(text, add_special_tokens=False).ids``."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, json: str) -> None:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_str(json)
         self.key = np.zeros(SLOTS, U)
         self.size = np.zeros(SLOTS, np.int16)
         self.ids = np.zeros((SLOTS, INLINE), np.uint32)
@@ -124,10 +124,10 @@ def _counts(k: np.ndarray) -> np.ndarray:
     return np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
 
 
-def worker_tokens(path: str) -> WordTokens:
-    """The worker's own ``WordTokens``, kept from task to task."""
+def worker_tokens(key: str, held) -> WordTokens:
+    """The worker's own ``WordTokens`` of the broadcast file ``held``, kept from task to task under ``key``."""
     state = sys.modules.setdefault("silvaframe_worker_state", types.ModuleType("silvaframe_worker_state"))
-    held = state.__dict__.setdefault("tokens", {})
-    if path not in held:
-        held[path] = WordTokens(path)
-    return held[path]
+    kept = state.__dict__.setdefault("tokens", {})
+    if key not in kept:
+        kept[key] = WordTokens(held.value)
+    return kept[key]
