@@ -42,7 +42,7 @@ def op2_chat_formatting(spark: SparkSession, sf: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = _read(spark, sf, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text").unionByName(extra)
-    return chat.read_back(chat.formatted(rows, tokenizer("byte_bpe_50k.json")))
+    return chat.read_back(chat.formatted(rows, tokenizer("byte_bpe_50k.json"), tokens=False))
 
 
 def op3_language_id(spark: SparkSession, sf: str) -> DataFrame:
@@ -89,17 +89,49 @@ def op10_nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_chat_formatting, op3_language_id, op4_best_fit_packing, op5_ngram_jaccard_join, op6_exact_topk, op7_url_filters, op8_toxicity, op9_quality_classifier, op10_nearest_neighbours)}
 
 ORACLE_SQL = {
+    "op2_chat_formatting": r"""
+WITH rows AS (
+    SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+    UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), sized AS (
+    SELECT *, length(text) + length(regexp_replace(text, '[^\\#<]', '', 'g')) + length(role) + length(regexp_replace(role, '[^\\#<:\n\r]', '', 'g')) + length('### ') + length(':n') + length('</turn>n') AS chars
+    FROM rows
+), said AS (
+    SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+           coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss, sum(chars)::BIGINT AS formatted_chars
+    FROM sized GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM said
+""",
+    "op5_ngram_jaccard_join": r"""
+WITH RECURSIVE worded AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                        ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s
+    FROM worded
+), shingles AS (
+    SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets
+), links AS (
+    SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+    GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 90 * (any_value(a.n) + any_value(b.n) - count(*))
+), reach AS (
+    SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
+)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, least(s.doc_id, coalesce(min(r.b), s.doc_id)) AS component_id FROM sets s LEFT JOIN reach r ON r.a = s.doc_id GROUP BY s.doc_id, s.s
+""",
     "op6_exact_topk": """
 WITH usable AS (
-    SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v
+    SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v
     FROM embeddings
     WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
       AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
-    SELECT q.vec_id AS query_id, d.vec_id, list_dot_product(q.v, d.v)::BIGINT AS score
-    FROM usable q JOIN usable d ON q.vec_id % 20 = 0 AND q.vec_id <> d.vec_id
+    SELECT q.row AS query_row, q.vec_id AS query_id, d.row, d.vec_id, list_dot_product(q.v, d.v)::BIGINT AS score
+    FROM usable q JOIN usable d ON q.vec_id % 20 = 0 AND q.row <> d.row
 ), ranked AS (
-    SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+    SELECT query_id, (row_number() OVER (PARTITION BY query_row ORDER BY score DESC, vec_id, row))::INTEGER AS rank, vec_id, score
     FROM scored
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
