@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from silvaframe.llm import jaccard, mixing, packing, quality, toxicity
 from silvaframe.llm.queries import GOOD, TOXIC, tokenizer
-from silvaframe.llm.scratch import written
+from silvaframe.llm.scratch import clear, mark, written
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +42,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's rows are written before the next reads them."""
+    """All stages over ``documents``; each stage's rows are written before the next reads them, and its own tables go."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    begun = mark()
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        clear(spark, keep=(docs,), since=begun)
     return STAGES[-1][1](spark, docs, sf_dir)
