@@ -21,10 +21,12 @@
    its members compared exactly.
 4. Large families. A few texts of each block's largest class stand for it and
    are linked in ever larger bundles of blocks, so that a large group of near
-   copies becomes one class at little cost. What then is outside a family's
-   largest class meets every block of the family, as the queries of a unit; so
-   no pair that might link is left out, and a text is copied once for each
-   block of such outsiders only.
+   copies becomes one class at little cost. Blocks hold texts of like size:
+   sizes that differ by more than the threshold can't link, so with classes of
+   that width only the same and adjacent ones may. What is outside a family's
+   largest class then meets every block of these classes, as the queries of a
+   unit; so no pair that might link is left out, and a text is copied once for
+   each block of such outsiders only.
 5. Links found are kept as union-find forests per unit, joined by components.
 
 Nothing is capped: memory is bounded by the block size, and equal sets are one
@@ -34,18 +36,19 @@ what is exact holds but for their collisions.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .components import components
 from .kernels import U, byte_values, chunks, lean, mix, shingle_sets, spaces, word_hashes
 from .scratch import counted as written_counted, text_batches, written
 
-#: Texts of one family that one unit of work holds, twice; texts that stand for a block, and blocks of a bundle.
-BLOCK, STAND, BUNDLE = 256, 16, 16
+#: Texts of one family in a block; texts that stand for a block, and blocks of a bundle; outsiders that meet a block at once.
+BLOCK, STAND, BUNDLE, OUTSIDE = 192, 12, 16, 1024
 #: Texts whose token union is one row of the matrix.
 GROUP = 32
 #: Tokens that a task gathers before it sends them out.
@@ -461,7 +464,7 @@ def _row() -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
-def _looked_up(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+def _looked_up(rows: DataFrame, table: DataFrame, key: str | list[str], total: int) -> DataFrame:
     """``rows`` left-joined with ``table``, whose ``weight`` is how many of ``total`` rows a key may have.
 
     Keys over the share ``HOT`` are fewer than one over it, so they are
@@ -473,6 +476,19 @@ def _looked_up(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataF
     return rows.join(few, key).unionByName(rest)
 
 
+def _numbered(sizes: DataFrame, rows: str, block: int, name: str) -> DataFrame:
+    """``sizes(family, cls, ...)`` with ``name_blocks``, enough for ``rows``, and ``name_first``, their first number in the family."""
+    blocks = F.ceil(F.col(rows) / block).cast("int")
+    before = Window.partitionBy("family").orderBy("cls").rowsBetween(Window.unboundedPreceding, -1)  # a row for each class of sizes
+    return sizes.withColumn(f"{name}_blocks", blocks).withColumn(f"{name}_first", F.coalesce(F.sum(f"{name}_blocks").over(before), F.lit(0)).cast("int"))
+
+
+def _numbers(name: str) -> Column:
+    """The numbers of a class's blocks, as an array."""
+    first, blocks = F.col(f"{name}_first"), F.col(f"{name}_blocks")
+    return F.when(blocks > 0, F.sequence(first, first + blocks - 1)).otherwise(F.array().cast("array<int>"))
+
+
 def _partitions(docs: DataFrame) -> int:
     """Partitions of the session, or as many more as the stored size of ``docs`` asks for where Spark knows it."""
     stored = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -480,44 +496,54 @@ def _partitions(docs: DataFrame) -> int:
 
 
 def _classes(texts: DataFrame, family: DataFrame, parts: int, percent: int) -> DataFrame:
-    """``(node, root)`` of each text that is linked to another, from ``texts(h, tokens)`` and ``family(node, root)``."""
+    """``(node, root)`` of each text that is linked to another, from ``texts(h, tokens, n)`` and ``family(node, root)``."""
     large = written(family.groupBy("root").agg(F.count(F.lit(1)).alias("weight")).where(F.col("weight") > BLOCK), "large")
-    total, most = large.agg(F.sum("weight"), F.max("weight")).first()
-    yes = F.lit(True)
-    if not most:
-        member = family.select(F.col("node").alias("h"), F.col("root").alias("family"), F.lit(0).alias("x"), F.lit(None).cast("int").alias("y"))
-        local = _opened(texts.join(member, "h").withColumns({"left": yes, "right": yes, "known": F.col("h")}), parts, percent, False, "local")
-        return local.where("h <> root").select(F.col("h").alias("node"), "root")
-
-    blocks = F.ceil(F.col("weight") / BLOCK).cast("int")
-    sized = _looked_up(family, large.select("root", blocks.alias("blocks"), "weight"), "root", total)
-    cell = F.pmod(F.xxhash64("node"), "blocks").cast("int")  # null in small families
-    member = sized.select(F.col("node").alias("h"), F.col("root").alias("family"), F.coalesce(cell, F.lit(0)).alias("x"), cell.alias("y"))
-    local = _opened(texts.join(member, "h").withColumns({"left": yes, "right": yes, "known": F.col("h")}), parts, percent, True, "local")
+    total = large.agg(F.sum("weight")).first()[0]
+    yes, no = F.lit(True), F.lit(False)
+    member = family.select(F.col("node").alias("h"), F.col("root").alias("family"))
+    if not total:
+        alone = texts.join(member, "h").withColumns({"x": F.lit(0), "y": F.lit(None).cast("int"), "left": yes, "right": yes, "known": F.col("h")})
+        return _opened(alone, parts, percent, False, "local").where("h <> root").select(F.col("h").alias("node"), "root")
+
+    # classes of sizes; a little wider than the threshold, so that rounding can't part what may link
+    width = max(1e-3, math.log(100 / percent) * (1 + 1e-6))
+    member = _looked_up(member, large.select(F.col("root").alias("family"), "weight", yes.alias("big")), "family", total)
+    placed = texts.join(member, "h").withColumn("cls", F.when(F.col("big"), F.floor(F.log("n") / width).cast("int")))
+    sizes = placed.where("big").groupBy("family", "cls").agg(F.count(F.lit(1)).alias("weight"))
+    sizes = written(_numbered(sizes, "weight", BLOCK, "cell"), "sizes")
+    cells = sizes.groupBy("family").agg(F.sum("cell_blocks").alias("cells")).agg(F.max("cells")).first()[0] or 0
+    placed = _looked_up(placed, sizes, ["family", "cls"], total)
+    cell = (F.col("cell_first") + F.pmod(F.xxhash64("h"), "cell_blocks")).cast("int")  # null in small families
+    local = _opened(placed.withColumns({"x": F.coalesce(cell, F.lit(0)), "y": cell, "left": yes, "right": yes, "known": F.col("h")}), parts, percent, True, "local")
     apart = local.where("cell is null and h <> root").select(F.col("h").alias("node"), "root")
     inside = local.where("cell is not null")
     edges = inside.where("h <> root").select(F.col("h").alias("a"), F.col("root").alias("b"))
-    stand, cells = inside.where("tokens is not null"), -(-most // BLOCK)
+    stand = inside.where("tokens is not null")
     while cells > 1:
         cells = -(-cells // BUNDLE)
-        cell = F.floor(F.col("cell") / BUNDLE).cast("int")
-        stand = _opened(stand.select("family", "h", "tokens", cell.alias("x"), cell.alias("y"), yes.alias("left"), yes.alias("right"), F.col("root").alias("known")), parts, percent, True, "bundles").where("tokens is not null or h <> root")
+        bundle = F.floor(F.col("cell") / BUNDLE).cast("int")
+        stand = _opened(stand.select("family", "h", "tokens", bundle.alias("x"), bundle.alias("y"), yes.alias("left"), yes.alias("right"), F.col("root").alias("known")), parts, percent, True, "bundles")
         edges = edges.unionByName(stand.where("h <> root").select(F.col("h").alias("a"), F.col("root").alias("b")))
         stand = stand.where("tokens is not null")
     merged = written(components(edges, "merged"), "merged")
 
-    # what is outside the largest class of its family meets every block
-    placed = inside.select("h", "family", "cell").join(merged, F.col("h") == F.col("node"), "left").select("h", "family", F.col("cell").alias("block"), F.coalesce("root", "h").alias("class"))
-    placed = written(placed, "placed")
+    # what is outside the largest class of its family meets every block of like sizes
+    of_cell = sizes.select("family", "cls", F.explode(_numbers("cell")).alias("cell"))
+    placed = inside.select("h", "family", "cell").join(merged, F.col("h") == F.col("node"), "left").select("h", "family", "cell", F.coalesce("root", "h").alias("class"))
+    placed = written(placed.join(of_cell, ["family", "cell"]), "placed")
     main = placed.groupBy("family", "class").agg(F.count(F.lit(1)).alias("k")).groupBy("family").agg(F.max(F.struct("k", "class")).alias("top"), F.sum("k").alias("weight"))
-    main = written(main.select("family", F.col("top.class").alias("main"), "weight", (F.col("weight") - F.col("top.k")).alias("others")).where("others > 0"), "main")
+    main = written(main.where(F.col("weight") > F.col("top.k")).select("family", F.col("top.class").alias("main"), "weight"), "main")
     if main.isEmpty():
         return apart.unionByName(merged.where("node <> root"))
-    main = main.withColumns({"rows": F.ceil(F.col("others") / BLOCK).cast("int"), "blocks": blocks})
-    open_ = _looked_up(placed, main, "family", total).where("main is not null").join(texts.groupBy("h").agg(F.first("tokens").alias("tokens")), "h")
-    own = F.when(F.col("class") != F.col("main"), F.pmod(F.xxhash64("h", F.lit(2)), "rows").cast("int"))
-    every = open_.select("family", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("x"), F.col("block").alias("y"), "h", "tokens", F.lit(False).alias("left"), yes.alias("right"), F.col("class").alias("known"))
-    asked = open_.where(own.isNotNull()).select("family", own.alias("x"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y"), "h", "tokens", yes.alias("left"), F.lit(False).alias("right"), F.col("class").alias("known"))
+    placed = _looked_up(placed, main, "family", total).where("main is not null").withColumn("outside", F.col("class") != F.col("main"))
+    others = placed.groupBy("family", "cls").agg(F.count(F.when(F.col("outside"), 1)).alias("others"), F.count(F.lit(1)).alias("weight"))
+    others = written(_numbered(others, "others", OUTSIDE, "out").join(sizes.drop("weight"), ["family", "cls"]), "others")
+    beside = others.select("family", F.col("cls").alias("other"), _numbers("out").alias("outs"), _numbers("cell").alias("cells"))
+    near = others.join(beside, "family").where(F.abs(F.col("cls") - F.col("other")) <= 1).groupBy("family", "cls", "weight", "out_first", "out_blocks").agg(F.flatten(F.collect_list("outs")).alias("outs"), F.flatten(F.collect_list("cells")).alias("cells"))
+    open_ = _looked_up(placed, near, ["family", "cls"], total).join(texts.groupBy("h").agg(F.first("tokens").alias("tokens")), "h")
+    out = (F.col("out_first") + F.pmod(F.xxhash64("h", F.lit(2)), "out_blocks")).cast("int")
+    every = open_.select("family", F.explode("outs").alias("x"), F.col("cell").alias("y"), "h", "tokens", no.alias("left"), yes.alias("right"), F.col("class").alias("known"))
+    asked = open_.where("outside").select("family", out.alias("x"), F.explode("cells").alias("y"), "h", "tokens", yes.alias("left"), no.alias("right"), F.col("class").alias("known"))
     more = _opened(every.unionByName(asked), parts, percent, False, "outside")
     links = more.where("h <> root").select(F.col("h").alias("a"), F.col("root").alias("b"))
     ends = components(links.unionByName(merged.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))), "ends")
@@ -539,7 +565,7 @@ def _firsts(docs: DataFrame, n: int, percent: int) -> DataFrame:
     rows, total = written_counted(docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), _row().alias("row")).mapInArrow(lean(_measured(n, held)), "doc_id long, row long, n_shingles long, h long, tokens binary"), "rows")
     held.destroy()
 
-    texts = rows.where("tokens is not null").select("h", "tokens")
+    texts = rows.where("tokens is not null").select("h", "tokens", F.col("n_shingles").alias("n"))
     classes = _classes(texts, family, parts, percent)
 
     # one row for each text, then for each class: copies are counted before anything is dealt by class

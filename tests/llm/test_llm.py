@@ -72,7 +72,7 @@ def test_jaccard_against_brute_force(awkward, n, percent, monkeypatch):
     rows = awkward.collect()
     want = linked(rows, n, percent)
     assert collections.Counter(map(tuple, jaccard.jaccard_classes(awkward, n, percent).collect())) == want
-    for name, few in (("BLOCK", 5), ("STAND", 2), ("BUNDLE", 2), ("MANY", 3), ("GROUP", 2)):
+    for name, few in (("BLOCK", 5), ("STAND", 2), ("BUNDLE", 2), ("MANY", 3), ("GROUP", 2), ("OUTSIDE", 4)):
         monkeypatch.setattr(jaccard, name, few)
     assert collections.Counter(map(tuple, jaccard.jaccard_classes(awkward, n, percent).collect())) == want
 
