@@ -23,6 +23,9 @@ class ForestParams:
     row_sum_scaling: bool = False
     bag: float = 0.66
     least_side: int = 3
+    guard: int = 2
+    max_splits: int = 0
+    exclude_self: bool = False
     seed: int = 0
 
     def __post_init__(self) -> None:
@@ -54,6 +57,7 @@ def from_flags(argv: list[str]) -> ForestParams:
     p.add_argument("-ri", "-reduce_input", dest="reduce_input", type=flag)
     p.add_argument("-ro", "-reduce_output", dest="reduce_output", type=flag)
     p.add_argument("-scale", "-scaling", dest="row_sum_scaling", type=flag)
+    p.add_argument("-max_splits", dest="max_splits", type=int)
     p.add_argument("-seed", dest="seed", type=int)
     got = {k: v for k, v in vars(p.parse_args(argv)).items() if v is not None}
     return ForestParams(**{f.name: got[f.name] for f in fields(ForestParams) if f.name in got})
