@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from functools import partial
 
+from . import applied
 from .relations import duck, fixture_relations
+from .twins import TWINS
 
 CHANGE = "(SELECT cl.cluster_id, f.feature_id, avg(f.mean) AS a FROM {cluster} cl JOIN {nf} f ON f.node_id = cl.node_id GROUP BY cl.cluster_id, f.feature_id)"
 SIGN = "(SELECT sample_id, feature_id, value, CASE WHEN sample_id % 2 = 1 THEN 1 ELSE 0 END AS other FROM {cell})"
@@ -21,9 +23,10 @@ PARENTS = CHANGED.replace("{WHO}", "parent_id")
 SISTERS = CHANGED.replace("{WHO}", "sister_id")
 AFFINITY = """SELECT p.cluster_id AS parent, c.cluster_id AS child, sum(p.z * c.z) AS affinity FROM (SELECT cluster_id, sample_id, own / n / nullif(sum(own / n) OVER (PARTITION BY sample_id), 0) AS z FROM {score}) p
     JOIN (SELECT cluster_id, sample_id, own / n / nullif(sum(own / n) OVER (PARTITION BY sample_id), 0) AS z FROM {score}) c ON c.sample_id = p.sample_id WHERE p.cluster_id <> c.cluster_id GROUP BY p.cluster_id, c.cluster_id"""
-TRANSITION = "SELECT coalesce(a.cluster_id, -1) AS parent, coalesce(b.cluster_id, -1) AS child, count(*) AS k FROM {node} n LEFT JOIN {split_label} a ON a.node_id = n.parent_id JOIN {split_label} b ON b.node_id = n.node_id GROUP BY coalesce(a.cluster_id, -1), coalesce(b.cluster_id, -1)"
-LIKELY = "SELECT child, max_by(parent, k * 1000 - parent) AS parent FROM (" + TRANSITION + ") q WHERE parent >= 0 AND parent <> child AND child > 0 GROUP BY child"
+TRANSITION = "SELECT parent, child, count(*) AS k FROM (SELECT coalesce(a.cluster_id, -1) AS parent, b.cluster_id AS child FROM {node} n LEFT JOIN {split_label} a ON a.node_id = n.parent_id JOIN {split_label} b ON b.node_id = n.node_id UNION ALL SELECT c.cluster_id, -1 FROM {node} l JOIN {split_label} c ON c.node_id = l.node_id WHERE l.is_leaf = 1) steps GROUP BY parent, child"
+LIKELY = "SELECT child, parent FROM (SELECT child, parent, row_number() OVER (PARTITION BY child ORDER BY k DESC, parent) AS place FROM (" + TRANSITION + ") q WHERE parent >= 0 AND parent <> child AND child > 0) z WHERE place = 1"
 NORM = "SELECT sample_id, feature_id, ln(1 + abs(value) * m.target / t.total) AS v FROM {cell} JOIN (SELECT sample_id AS id, sum(abs(value)) AS total FROM {cell} GROUP BY sample_id) t ON t.id = sample_id CROSS JOIN (SELECT median(total) AS target FROM (SELECT sum(abs(value)) AS total FROM {cell} GROUP BY sample_id) q) m"
+OTHER = "(SELECT m.node_id, c.feature_id, avg(c.value) AS mean FROM {member} m JOIN {cell} c ON c.sample_id = m.sample_id WHERE c.sample_id % 2 = 1 GROUP BY m.node_id, c.feature_id)"
 CH = "SELECT feature_id, label, avg(value) AS mean, count(*) AS n FROM {cell} JOIN (SELECT sample_id AS id, label FROM {sample}) l ON l.id = sample_id GROUP BY feature_id, label"
 
 #: Plan name -> body; {name} is a relation, {r: x :r} rounds to six places.
@@ -80,20 +83,11 @@ PLANS: dict[str, str] = {
     "agg_partition_mi": "SELECT a.node_id AS leaf_a, b.node_id AS leaf_b, {r: count(*) / max(t.n) * (ln(count(*)) - ln(max(x.population) * max(y.population)) + ln(max(t.n))) :r} AS value FROM {member} a JOIN {member} b ON b.sample_id = a.sample_id JOIN {node} k ON k.node_id = a.node_id AND k.is_leaf = 1 JOIN {node} l ON l.node_id = b.node_id AND l.is_leaf = 1 JOIN {pop} x ON x.node_id = a.node_id JOIN {pop} y ON y.node_id = b.node_id CROSS JOIN (SELECT CAST(count(*) AS DOUBLE) AS n FROM {sample}) t GROUP BY a.node_id, b.node_id",
     "agg_arg_extremes": "SELECT feature_id, min_by(sample_id, value) AS lowest, max_by(sample_id, value) AS highest, {r: min(value) :r} AS low, {r: max(value) :r} AS high FROM {cell} GROUP BY feature_id",
     "win_valsort": "SELECT feature_id, sample_id, CAST(row_number() OVER (PARTITION BY feature_id ORDER BY value, sample_id) - 1 AS BIGINT) AS p FROM {cell}",
-    "win_suffix_median": "SELECT tree_id, feature_id, p, {r: right_median :r} AS value FROM {side}",
-    "win_prefix_median": "SELECT tree_id, feature_id, p, {r: left_median :r} AS value FROM {side}",
-    "win_suffix_sme": "SELECT tree_id, feature_id, p, {r: right_sme :r} AS value FROM {sided}",
-    "win_suffix_ssme": "SELECT tree_id, feature_id, p, {r: right_ssme :r} AS value FROM {sided}",
-    "win_suffix_variance": "SELECT tree_id, feature_id, p, {r: right_variance :r} AS value FROM {sided}",
-    "win_suffix_mean": "SELECT tree_id, feature_id, p, {r: avg(y) OVER (PARTITION BY tree_id, feature_id ORDER BY p ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) :r} AS value FROM {target}",
-    "win_suffix_mad": "SELECT a.tree_id, a.feature_id, a.p, {r: median(CASE WHEN b.p > a.p THEN abs(b.y - a.right_median) END) :r} AS value FROM {side} a JOIN {target} b ON b.tree_id = a.tree_id AND b.feature_id = a.feature_id GROUP BY a.tree_id, a.feature_id, a.p",
     "win_ranked_features": "SELECT node_id, feature_id, CAST(row_number() OVER (PARTITION BY node_id ORDER BY gain, feature_id) AS BIGINT) AS place FROM {gain}",
-    "trn_bag": "SELECT tree_id, sample_id, CASE WHEN place <= floor(0.66 * n) THEN 1 ELSE 0 END AS in_bag FROM {bag}",
+    "trn_bag": "SELECT node_id, sample_id, CASE WHEN place <= floor(0.66 * n) THEN 1 ELSE 0 END AS in_bag FROM {bag}",
     "trn_draw": "SELECT tree_id, draw, sample_id FROM {draw}",
-    "trn_feature_draw": "SELECT t.tree_id, g.draw, {hex8('7|in|', t.tree_id, '|', g.draw)} % 64 AS feature_id FROM (SELECT DISTINCT tree_id FROM {node}) t CROSS JOIN {draws} g WHERE g.draw < 8",
-    "trn_split_scores": "SELECT tree_id, p, {r: l1 :r} AS l1, {r: l2 :r} AS l2 FROM {scored}",
-    "trn_best_split": "SELECT tree_id, min_by(p, l1) AS p, {r: min(l1) :r} AS score, min_by(sample_id, l1) AS sample_id, {r: min_by(x, l1) :r} AS threshold FROM {scored} WHERE p >= 2 AND p <= n - 2 GROUP BY tree_id",
-    "trn_split_guard": "SELECT p.tree_id, p.node_id, count(*) AS samples, CASE WHEN count(*) >= 3 THEN 1 ELSE 0 END AS may_split FROM (SELECT n.tree_id, m.node_id, m.sample_id FROM {member} m JOIN {node} n ON n.node_id = m.node_id) p GROUP BY p.tree_id, p.node_id",
+    "trn_feature_draw": "SELECT n.node_id, g.draw, {hex8('7|in|', n.node_id, '|', g.draw)} % 64 AS in_feature, {hex8('7|out|', n.node_id, '|', g.draw)} % 64 AS out_feature FROM {node} n CROSS JOIN {draws} g WHERE g.draw < 20",
+    "trn_split_guard": "SELECT n.node_id, CASE WHEN min(k.population) >= 3 AND count(*) = 2 THEN 1 ELSE 0 END AS may_split FROM {node} n JOIN {node} c ON c.parent_id = n.node_id JOIN {pop} k ON k.node_id = c.node_id GROUP BY n.node_id",
     "enc_sample": "SELECT sample_id, node_id FROM {member}",
     "enc_sister": "SELECT node_id, sample_id, 1 AS value FROM {member} UNION ALL SELECT node_id, sample_id, -1 FROM {sister_member}",
     "enc_factor": "SELECT n.node_id, c.cluster_id, CASE WHEN k.node_id IS NULL THEN 0 ELSE 1 END AS value FROM {node} n CROSS JOIN (SELECT DISTINCT cluster_id FROM {cluster}) c LEFT JOIN {cluster} k ON k.node_id = n.node_id AND k.cluster_id = c.cluster_id",
@@ -111,10 +105,10 @@ PLANS: dict[str, str] = {
     "prd_additive": "SELECT m.sample_id, g.feature_id, {r: sum(g.gain) / max(t.n) :r} AS predicted FROM {member} m JOIN {gain} g ON g.node_id = m.node_id CROSS JOIN (SELECT count(DISTINCT tree_id) AS n FROM {node}) t GROUP BY m.sample_id, g.feature_id",
     "prd_residuals": "SELECT sample_id, feature_id, {r: residual :r} AS residual, {r: null_residual :r} AS null_residual FROM {residual}",
     "prd_observed_means": "SELECT n.node_id, f.feature_id, {r: coalesce(f.mean, 0) :r} AS mean FROM {node} n LEFT JOIN (SELECT m.node_id, c.feature_id, avg(c.value) AS mean FROM {member} m JOIN {cell} c ON c.sample_id = m.sample_id WHERE c.sample_id % 2 = 1 GROUP BY m.node_id, c.feature_id) f ON f.node_id = n.node_id",
-    "prd_observed_marginal": "SELECT n.node_id, f.feature_id, {r: CASE WHEN n.parent_id IS NULL THEN 0 ELSE f.mean - p.mean END :r} AS value FROM {node} n JOIN {nf} f ON f.node_id = n.node_id LEFT JOIN {nf} p ON p.node_id = n.parent_id AND p.feature_id = f.feature_id",
+    "prd_observed_marginal": "SELECT n.node_id, f.feature_id, {r: CASE WHEN n.parent_id IS NULL THEN 0 ELSE coalesce(o.mean - p.mean, 0) END :r} AS value FROM {node} n CROSS JOIN (SELECT DISTINCT feature_id FROM {cell}) f LEFT JOIN " + OTHER + " o ON o.node_id = n.node_id AND o.feature_id = f.feature_id LEFT JOIN " + OTHER + " p ON p.node_id = n.parent_id AND p.feature_id = f.feature_id",
     "prd_factor_matrix": "SELECT sample_id, cluster_id, {r: CASE WHEN cluster_id = 0 THEN 1 ELSE (own - sister) / n END :r} AS value FROM {score}",
     "prd_log_sister": "SELECT sample_id, cluster_id, {r: ln((own + 1) / (sister + 1)) :r} AS value FROM {score}",
-    "prd_sample_cluster": "SELECT sample_id, max_by(label, share * 1000 - label) AS cluster_id FROM (SELECT m.sample_id, q.label, round(sum(q.share), 9) AS share FROM {member} m JOIN (SELECT n.node_id, s.label, count(*) / CAST(max(p.population) AS DOUBLE) AS share FROM {node} n JOIN {member} m ON m.node_id = n.node_id JOIN {sample} s ON s.sample_id = m.sample_id JOIN {pop} p ON p.node_id = n.node_id WHERE n.is_leaf = 1 GROUP BY n.node_id, s.label) q ON q.node_id = m.node_id GROUP BY m.sample_id, q.label) z GROUP BY sample_id",
+    "prd_sample_cluster": "SELECT sample_id, label AS cluster_id FROM (SELECT sample_id, label, row_number() OVER (PARTITION BY sample_id ORDER BY share DESC, label) AS place FROM (SELECT m.sample_id, q.label, round(sum(q.share), 9) AS share FROM {member} m JOIN (SELECT n.node_id, s.label, count(*) / CAST(max(p.population) AS DOUBLE) AS share FROM {node} n JOIN {member} m ON m.node_id = n.node_id JOIN {sample} s ON s.sample_id = m.sample_id JOIN {pop} p ON p.node_id = n.node_id WHERE n.is_leaf = 1 GROUP BY n.node_id, s.label) q ON q.node_id = m.node_id GROUP BY m.sample_id, q.label) z) y WHERE place = 1",
     "met_node_sample_sq": "SELECT m.node_id, m.sample_id, {r: sum(power(c.value - f.mean, 2)) :r} AS value FROM {member} m JOIN {cell} c ON c.sample_id = m.sample_id JOIN {nf} f ON f.node_id = m.node_id AND f.feature_id = c.feature_id GROUP BY m.node_id, m.sample_id",
     "met_node_feature_sq": "SELECT node_id, feature_id, {r: own :r} AS value FROM {doublet}",
     "met_node_mse": "SELECT node_id, {r: sum(own) / sum(n) :r} AS value FROM {doublet} GROUP BY node_id",
@@ -142,8 +136,8 @@ PLANS: dict[str, str] = {
     "knn_double": f"SELECT a, b, place FROM (SELECT a, b, CAST(row_number() OVER (PARTITION BY a ORDER BY round((cosine + s) / 2, 9), b) AS BIGINT) AS place FROM ({DIST}) q JOIN (SELECT node_a, node_b, 1 - (c + least(na, nb)) / (2.0 * greatest(na, nb)) AS s FROM ({NODE_PAIR}) w) t ON t.node_a = q.a AND t.node_b = q.b) z WHERE place <= 5",
     "clu_propagate": "SELECT node_id, cluster_id FROM {split_label}",
     "clu_external_labels": "SELECT sample_id, label AS cluster_id FROM {sample}",
-    "clu_samples_by_leaf_cluster": "SELECT sample_id, max_by(cluster_id, s * 1000 - cluster_id) AS cluster_id FROM (SELECT m.sample_id, l.cluster_id, round(count(*) / CAST(max(k.n) AS DOUBLE), 9) AS s FROM {member} m JOIN {node} n ON n.node_id = m.node_id AND n.is_leaf = 1 JOIN {split_label} l ON l.node_id = n.node_id JOIN (SELECT b.cluster_id, count(*) AS n FROM {split_label} b JOIN {node} d ON d.node_id = b.node_id AND d.is_leaf = 1 GROUP BY b.cluster_id) k ON k.cluster_id = l.cluster_id GROUP BY m.sample_id, l.cluster_id) q GROUP BY sample_id",
-    "clu_terminal_factor": "SELECT sample_id, max_by(cluster_id, c * 1000 - cluster_id) AS cluster_id FROM (SELECT m.sample_id, l.cluster_id, count(*) AS c FROM {member} m JOIN {node} n ON n.node_id = m.node_id AND n.is_leaf = 1 JOIN {split_label} l ON l.node_id = n.node_id GROUP BY m.sample_id, l.cluster_id) q GROUP BY sample_id",
+    "clu_samples_by_leaf_cluster": "SELECT sample_id, cluster_id FROM (SELECT sample_id, cluster_id, row_number() OVER (PARTITION BY sample_id ORDER BY s DESC, cluster_id) AS place FROM (SELECT m.sample_id, l.cluster_id, round(count(*) / CAST(max(k.n) AS DOUBLE), 9) AS s FROM {member} m JOIN {node} n ON n.node_id = m.node_id AND n.is_leaf = 1 JOIN {split_label} l ON l.node_id = n.node_id JOIN (SELECT b.cluster_id, count(*) AS n FROM {split_label} b JOIN {node} d ON d.node_id = b.node_id AND d.is_leaf = 1 GROUP BY b.cluster_id) k ON k.cluster_id = l.cluster_id GROUP BY m.sample_id, l.cluster_id) q) z WHERE place = 1",
+    "clu_terminal_factor": "SELECT sample_id, cluster_id FROM (SELECT sample_id, cluster_id, row_number() OVER (PARTITION BY sample_id ORDER BY c DESC, cluster_id) AS place FROM (SELECT m.sample_id, l.cluster_id, count(*) AS c FROM {member} m JOIN {node} n ON n.node_id = m.node_id AND n.is_leaf = 1 JOIN {split_label} l ON l.node_id = n.node_id GROUP BY m.sample_id, l.cluster_id) q) z WHERE place = 1",
     "clu_within_share": f"SELECT {{r: sum(CASE WHEN x.cluster_id = y.cluster_id THEN 1.0 ELSE 0.0 END) / count(*) :r}} AS within_share FROM (SELECT a, b FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY round(euclid, 9), b) AS place FROM ({DIST}) q) e WHERE place <= 5) g JOIN {{split_label}} x ON x.node_id = g.a JOIN {{split_label}} y ON y.node_id = g.b",
     "fac_sample_scores": "SELECT cluster_id, sample_id, own AS n, {r: own / (n + 1) :r} AS score FROM {score}",
     "fac_sister_scores": "SELECT cluster_id, sample_id, {r: (own - sister) / n :r} AS value FROM {score}",
@@ -167,7 +161,7 @@ PLANS: dict[str, str] = {
     "con_transitions": "SELECT parent, child, k AS value FROM (" + TRANSITION + ") q",
     "con_directional": "SELECT a.cluster_id AS upstream, b.cluster_id AS downstream, count(*) AS value FROM {path} p JOIN {split_label} a ON a.node_id = p.ancestor_id JOIN {split_label} b ON b.node_id = p.node_id WHERE p.distance > 0 GROUP BY a.cluster_id, b.cluster_id",
     "con_likely_parent": LIKELY,
-    "con_likely_tree": "WITH RECURSIVE walk(cluster_id, depth) AS (SELECT 0, 0 UNION ALL SELECT e.child, w.depth + 1 FROM walk w JOIN (" + LIKELY + ") e ON e.parent = w.cluster_id WHERE w.depth < 10) SELECT cluster_id, depth FROM walk",
+    "con_likely_tree": "WITH RECURSIVE walk(cluster_id, depth) AS (SELECT 0, 0 UNION ALL SELECT e.child, w.depth + 1 FROM walk w JOIN (" + LIKELY + ") e ON e.parent = w.cluster_id) SELECT cluster_id, depth FROM walk",
     "con_affinity_samples": f"SELECT parent, child, {{r: affinity :r}} AS value FROM ({AFFINITY}) q",
     "con_path_covariance": "SELECT a.cluster_id AS cluster_a, b.cluster_id AS cluster_b, {r: sum(CASE WHEN x.node_id = y.node_id THEN 1 ELSE 0 END) / max(t.n) - max(a.k) * max(b.k) / (max(t.n) * max(t.n)) :r} AS value FROM (SELECT cluster_id, count(*) AS k FROM {cluster} GROUP BY cluster_id) a CROSS JOIN (SELECT cluster_id, count(*) AS k FROM {cluster} GROUP BY cluster_id) b JOIN {cluster} x ON x.cluster_id = a.cluster_id JOIN {cluster} y ON y.cluster_id = b.cluster_id CROSS JOIN (SELECT CAST(count(*) AS DOUBLE) AS n FROM {node}) t GROUP BY a.cluster_id, b.cluster_id",
     "pre_normalize_log1p": f"SELECT sample_id, feature_id, {{r: v :r}} AS value FROM ({NORM}) q",
@@ -179,7 +173,6 @@ PLANS: dict[str, str] = {
     "nb_contingency": "SELECT s.label, m.node_id, count(*) AS n FROM {sample} s JOIN {member} m ON m.sample_id = s.sample_id JOIN {node} k ON k.node_id = m.node_id WHERE k.is_leaf = 1 AND k.tree_id = 0 GROUP BY s.label, m.node_id",
     "nb_local_regression": "SELECT q.cluster_id, {r: (count(*) * sum(a.value * b.value) - sum(a.value) * sum(b.value)) / nullif(count(*) * sum(a.value * a.value) - sum(a.value) * sum(a.value), 0) :r} AS slope, {r: corr(a.value, b.value) :r} AS r FROM (SELECT cluster_id, sample_id FROM {score} WHERE (own - sister) / n > 0.3) q JOIN {cell} a ON a.sample_id = q.sample_id AND a.feature_id = 0 JOIN {cell} b ON b.sample_id = q.sample_id AND b.feature_id = 1 GROUP BY q.cluster_id HAVING count(*) > 2 AND var_pop(b.value) > 0",
     "nb_prediction_fit": "SELECT feature_id, {r: avg(residual * residual) :r} AS mse, {r: avg(abs(residual)) :r} AS mae, {r: corr(value, value - residual) :r} AS r FROM {residual} GROUP BY feature_id",
-    "nb_negative_binomial": "SELECT feature_id, {r: avg(value * value) / nullif(var_pop(value * value), 0) :r} AS p FROM {cell} GROUP BY feature_id",
     "src_auto_parameters": "SELECT CAST(floor(64 / log10(64.0)) AS BIGINT) AS features, CAST(CASE WHEN n < 10 THEN n WHEN n < 1000 THEN 2 * floor(n / 3.0) WHEN n < 5000 THEN floor(n / 2.0) ELSE floor(n / 4.0) END AS BIGINT) AS draws FROM (SELECT count(*) AS n FROM {sample}) q",
     "src_header": "SELECT feature_id, CASE WHEN n = 0 THEN raw ELSE concat(raw, n) END AS name FROM (SELECT feature_id, raw, row_number() OVER (PARTITION BY raw ORDER BY feature_id) - 1 AS n FROM (SELECT DISTINCT feature_id, concat('g', feature_id % 7) AS raw FROM {cell}) q) z",
     "snk_tsv": "SELECT sample_id, concat(sample_id, chr(9), label) AS line FROM {sample}",
@@ -192,5 +185,6 @@ def run(name: str, spark, sf_dir: str):
     return fixture_relations(spark, sf_dir).sql(PLANS[name])
 
 
-QUERIES = {name: partial(run, name) for name in PLANS}
-ORACLE_SQL = {name: duck(body) for name, body in PLANS.items()}
+#: Plans as texts; where an operator is a function of its own, the query calls it and the text is its twin only.
+QUERIES = {name: partial(run, name) for name in PLANS} | applied.QUERIES
+ORACLE_SQL = {name: duck(body) for name, body in (PLANS | TWINS).items()}

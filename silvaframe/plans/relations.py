@@ -7,10 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.forest import Forest, fixture
+from ..operators.order import row_numbers
 from ..sources.matrix import cells, embeddings
 
-#: Draws of a node and of its features, and the seed, in the training plans.
-DRAWS, SEED = 48, "7"
+#: Draws of a node, from its samples: as many as the parameters choose for the table.
+DRAWS = "CASE WHEN count(*) < 10 THEN count(*) WHEN count(*) < 1000 THEN 2 * (count(*) // 3) WHEN count(*) < 5000 THEN count(*) // 2 ELSE count(*) // 4 END"
 
 _NODES = [(7 * t + i, t, p if p is None else 7 * t + p, s if s is None else 7 * t + s, lv, lr, leaf, f1 if f1 is None else t, d1, f2 if f2 is None else f2 + 2 * t, d2) for t in range(3) for i, p, s, lv, lr, leaf, f1, d1, f2, d2 in [
     (0, 4, 1, 2, 0, 1, 0, 0, 4, 0), (1, 4, 0, 2, 1, 1, 0, 0, 4, 1), (2, 5, 3, 2, 0, 1, 0, 1, 5, 0), (3, 5, 2, 2, 1, 1, 0, 1, 5, 1),
@@ -45,17 +46,17 @@ DERIVED = {
         FROM (SELECT cluster_id, count(*) AS n FROM {cluster} GROUP BY cluster_id) k CROSS JOIN {sample} s
         LEFT JOIN (SELECT cluster_id, sample_id, count(*) AS c FROM {cluster} JOIN {member} USING (node_id) GROUP BY cluster_id, sample_id) o ON o.cluster_id = k.cluster_id AND o.sample_id = s.sample_id
         LEFT JOIN (SELECT cluster_id, sample_id, count(*) AS c FROM {cluster} JOIN {sister_member} USING (node_id) GROUP BY cluster_id, sample_id) t ON t.cluster_id = k.cluster_id AND t.sample_id = s.sample_id""",
-    "bag": "SELECT t.tree_id, s.sample_id, row_number() OVER (PARTITION BY t.tree_id ORDER BY md5(concat('7|bag|', t.tree_id, '|', s.sample_id)), s.sample_id) AS place, count(*) OVER (PARTITION BY t.tree_id) AS n FROM {sample} s CROSS JOIN (SELECT DISTINCT tree_id FROM {node}) t",
-    "inbag": "SELECT tree_id, sample_id, place - 1 AS place, floor(0.66 * n) AS k FROM {bag} WHERE place <= floor(0.66 * n)",
+    "bag": "SELECT n.tree_id, n.parent_id, m.node_id, m.sample_id, row_number() OVER (PARTITION BY m.node_id ORDER BY {hex8('7|bag|', m.node_id, '|', m.sample_id)}, m.sample_id) AS place, count(*) OVER (PARTITION BY m.node_id) AS n FROM {member} m JOIN {node} n ON n.node_id = m.node_id",
+    "inbag": "SELECT tree_id, sample_id, place - 1 AS place, floor(0.66 * n) AS k FROM {bag} WHERE parent_id IS NULL AND place <= floor(0.66 * n)",
     "draw": "SELECT d.tree_id, d.draw, b.sample_id FROM (SELECT t.tree_id, g.draw, {hex8('7|draw|', t.tree_id, '|', g.draw)} AS h FROM (SELECT DISTINCT tree_id FROM {node}) t CROSS JOIN {draws} g) d JOIN {inbag} b ON b.tree_id = d.tree_id AND b.place = d.h % CAST(b.k AS BIGINT)",
-    "drawn": "SELECT d.tree_id, d.draw, d.sample_id, c.feature_id, c.value FROM {draw} d JOIN {cell} c ON c.sample_id = d.sample_id",
-    "target": "SELECT i.tree_id, i.draw, i.sample_id, t.feature_id, t.value AS y, row_number() OVER (PARTITION BY i.tree_id, t.feature_id ORDER BY i.value, i.draw) - 1 AS p, count(*) OVER (PARTITION BY i.tree_id, t.feature_id) AS n, i.value AS x FROM {drawn} i JOIN {drawn} t ON t.tree_id = i.tree_id AND t.draw = i.draw AND t.feature_id IN (3, 4) WHERE i.feature_id = i.tree_id",
-    "side": """SELECT a.tree_id, a.feature_id, a.p, a.n, a.x, a.sample_id, median(CASE WHEN b.p > a.p THEN b.y END) AS right_median, median(CASE WHEN b.p < a.p THEN b.y END) AS left_median
-        FROM {target} a JOIN {target} b ON b.tree_id = a.tree_id AND b.feature_id = a.feature_id GROUP BY a.tree_id, a.feature_id, a.p, a.n, a.x, a.sample_id""",
-    "sided": """SELECT a.tree_id, a.feature_id, a.p, a.n, a.x, a.sample_id, coalesce(sum(CASE WHEN b.p > a.p THEN abs(b.y - a.right_median) END), 0) AS right_sme, coalesce(sum(CASE WHEN b.p < a.p THEN abs(b.y - a.left_median) END), 0) AS left_sme,
-        coalesce(sum(CASE WHEN b.p > a.p THEN power(b.y - a.right_median, 2) END), 0) AS right_ssme, coalesce(var_pop(CASE WHEN b.p > a.p THEN b.y END), 0) AS right_variance
-        FROM {side} a JOIN {target} b ON b.tree_id = a.tree_id AND b.feature_id = a.feature_id GROUP BY a.tree_id, a.feature_id, a.p, a.n, a.x, a.sample_id""",
-    "scored": "SELECT tree_id, p, max(n) AS n, max(x) AS x, max(sample_id) AS sample_id, sum(right_sme) * sqrt((max(n) - p) / CAST(max(n) AS DOUBLE)) + sum(left_sme) * sqrt((p + 1) / CAST(max(n) AS DOUBLE)) AS l1, sum(power(right_sme, 2)) + sum(power(left_sme, 2)) AS l2 FROM {sided} GROUP BY tree_id, p",
+}
+
+#: Of these, what Spark takes from sums of whole vectors by node (``stat``: rows, sum and sum of squares); the twins keep to the definitions above.
+FROM_SUMS = {
+    "nf": "SELECT node_id, feature_id, n AS population, s / n AS mean FROM {stat}",
+    "pop": "SELECT node_id, n AS population FROM {stat} WHERE feature_id = 0",
+    "doublet": """SELECT a.node_id, a.feature_id, a.n, greatest(0D, a.q - a.s * a.s / a.n) AS own, greatest(0D, a.q - 2 * coalesce(p.s / p.n, 0) * a.s + a.n * power(coalesce(p.s / p.n, 0), 2)) AS parent
+        FROM {stat} a JOIN {node} k ON k.node_id = a.node_id LEFT JOIN {stat} p ON p.node_id = k.parent_id AND p.feature_id = a.feature_id""",
 }
 
 DUCK_BASE = {
@@ -65,25 +66,48 @@ DUCK_BASE = {
     "path": "SELECT node_id, node_id AS ancestor_id, 0 AS distance FROM {node} UNION ALL SELECT node_id, parent_id, 1 FROM {node} WHERE parent_id IS NOT NULL UNION ALL SELECT a.node_id, b.parent_id, 2 FROM {node} a JOIN {node} b ON a.parent_id = b.node_id WHERE b.parent_id IS NOT NULL",
     "member": "SELECT n.node_id, s.sample_id FROM {node} n, {sample} s WHERE (n.f1 IS NULL OR (s.x[n.f1 + 1] > 0) = (n.d1 = 1)) AND (n.f2 IS NULL OR (s.x[n.f2 + 1] > 0) = (n.d2 = 1))",
     "cluster": f"SELECT cluster_id::INTEGER AS cluster_id, node_id::BIGINT AS node_id FROM (VALUES {_values(CLUSTERS)}) v(cluster_id, node_id)",
-    "draws": f"SELECT range::BIGINT AS draw FROM range({DRAWS})",
+    "draws": f"SELECT unnest(range((SELECT {DRAWS} FROM {{sample}})))::BIGINT AS draw",
 }
 
 
+#: Statistics that the last plans keep in memory: a few numbers a node and feature.
+_KEPT: list[DataFrame] = []
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """``df`` persisted, so that a plan that uses it often reads the samples once; only the last few stay. Lost blocks are computed again."""
+    while len(_KEPT) >= 4:
+        _KEPT.pop(0).unpersist()
+    _KEPT.append(df.persist())
+    return _KEPT[-1]
+
+
 class Relations:
     """Spark views of the basic relations over one matrix and forest, and of those derived from them."""
 
     def __init__(self, spark: SparkSession, samples: DataFrame, forest: Forest, cluster: DataFrame) -> None:
         self.spark = spark
         nodes = forest.nodes.select("node_id", "tree_id", "parent_id", "sister_id", "level", "lr", F.col("is_leaf").cast("int").alias("is_leaf"), F.get("features", F.lit(0)).alias("feature"))
-        base = {"sample": samples, "cell": cells(samples), "node": nodes, "path": forest.path, "member": forest.members(samples), "cluster": cluster, "draws": spark.range(DRAWS).select(F.col("id").alias("draw"))}
+        base = {"sample": samples, "cell": cells(samples), "node": nodes, "path": forest.path, "member": forest.members(samples), "cluster": cluster}
+        n = F.count(F.lit(1))
+        size = samples.agg(F.when(n < 10, n).when(n < 1000, 2 * F.floor(n / 3)).when(n < 5000, F.floor(n / 2)).otherwise(F.floor(n / 4)).alias("n"))
+        base["draws"] = size.where("n > 0").select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("draw"))
+        self.forest, self.samples, self.clusters = forest, samples, cluster
         tag = uuid.uuid4().hex[:8]
-        self.names = {k: f"{k}_{tag}" for k in (*base, *DERIVED)}
+        self.names = {k: f"{k}_{tag}" for k in (*base, *DERIVED, "stat")}
         for k, df in base.items():
             df.createOrReplaceTempView(self.names[k])
         self.made: set[str] = set(base)
 
     def sql(self, body: str) -> DataFrame:
-        for k, text in DERIVED.items():
+        if "stat" not in self.made and _needs(body, "stat"):
+            self.made.add("stat")
+            _kept(self.forest.node_sums(self.samples)).createOrReplaceTempView(self.names["stat"])
+        if "bag" not in self.made and any(_needs(body, k) for k in ("bag", "inbag", "draw")):
+            self.made.add("bag")
+            keyed = self.sql("SELECT n.tree_id, n.parent_id, m.node_id, m.sample_id, {hex8('7|bag|', m.node_id, '|', m.sample_id)} AS h FROM {member} m JOIN {node} n ON n.node_id = m.node_id")
+            row_numbers(keyed, ["node_id"], "h", "sample_id").withColumn("place", F.col("p") + 1).createOrReplaceTempView(self.names["bag"])
+        for k, text in (DERIVED | FROM_SUMS).items():
             if k not in self.made and _needs(body, k):
                 self.made.add(k)
                 self.sql(text).createOrReplaceTempView(self.names[k])
@@ -134,7 +158,10 @@ def duck(body: str) -> str:
     text = dialect(body, "duckdb", names)
     if not ctes:
         return text
-    return f"WITH RECURSIVE {ctes}, {text[len('WITH RECURSIVE '):]}" if text.startswith("WITH RECURSIVE ") else f"WITH {ctes} {text}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if text.startswith(start):
+            return f"WITH RECURSIVE {ctes}, {text[len(start):]}"
+    return f"WITH {ctes} {text}"
 
 
 def fixture_relations(spark: SparkSession, sf: str) -> Relations:
