@@ -22,8 +22,8 @@ from ..params import ForestParams
 from .forest import Forest, Split
 from .routing import Router, groups, matrix, weighed
 
-#: Numbers that one step of the split search holds.
-STEP_CELLS = 1 << 22
+#: Numbers of pairs of an input and a target that the split search holds at once, about (they should stay in a core's cache); bytes of draws that one task searches, about.
+STEP_CELLS, SEARCH_BYTES = 1 << 18, 32 << 20
 
 
 def generator(seed: int, *key: object) -> np.random.Generator:
@@ -31,9 +31,9 @@ def generator(seed: int, *key: object) -> np.random.Generator:
     return np.random.default_rng(int.from_bytes(hashlib.md5("|".join(map(str, (seed, *key))).encode()).digest()[:8], "little"))
 
 
-def uniform(ids: np.ndarray, seed: int, node: int) -> np.ndarray:
-    """A number in [0, 1) for each sample at a node, by hash."""
-    x = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((seed * 0x2545F4914F6CDD1D + node * 0xD6E8FEB86659FD93) % 2**64)
+def uniform(ids: np.ndarray, seed: int, node: np.ndarray | int) -> np.ndarray:
+    """A number in [0, 1) for each sample at its node, by hash."""
+    x = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.asarray(node).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(seed * 0x2545F4914F6CDD1D % 2**64)
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
     return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) / 2.0**53
@@ -48,50 +48,43 @@ def removed_sme(ranked: np.ndarray, values: np.ndarray) -> np.ndarray:
     ``values`` (pairs, n) are sorted along each row; ``ranked`` (pairs, n) are
     the places in that order in which values go. Row p of the result (n + 1,
     pairs) is for the first p being gone. All pairs step together: a linked
-    list keeps the order, a pointer the lower median, and two sums what lies up
-    to it and above it.
+    list keeps the order (with an end on both sides), a pointer the lower
+    median, and ``apart`` is the sum above the pointer less that up to it.
     """
     pairs, n = values.shape
-    row = np.arange(pairs)
-    after = np.tile(np.arange(1, n + 1, dtype=np.int32), (pairs, 1))
-    before = np.tile(np.arange(-1, n - 1, dtype=np.int32), (pairs, 1))
+    width = n + 2
+    base = np.arange(pairs, dtype=np.int64) * width
+    value = np.zeros((pairs, width))
+    value[:, 1:-1] = values
+    value = value.ravel()
+    after = np.tile(np.arange(1, width + 1, dtype=np.int32), pairs)
+    before = np.tile(np.arange(-1, width - 1, dtype=np.int32), pairs)
+    going = np.ascontiguousarray(ranked.T) + 1
     out = np.zeros((n + 1, pairs))
-    at = np.full(pairs, (n - 1) // 2, np.int32)  # the lower median
-    total = np.cumsum(values, 1)
-    low, high = total[row, at].copy(), total[:, -1] - total[row, at]
-    for p in range(n + 1):
+    middle = (n + 1) // 2
+    at = np.full(pairs, middle, np.int64)
+    apart = values[:, middle:].sum(1) - values[:, :middle].sum(1)
+    for p in range(n):
         left = n - p
-        if not left:
-            break
-        middle = values[row, at]
-        # (left + 1) // 2 values up to the lower median, left // 2 above it
-        out[p] = high - low + (middle if left % 2 else 0.0)
+        here = base + at
+        median = value.take(here)
+        out[p] = apart + median if left % 2 else apart
         if left == 1:
             break
-        gone = ranked[:, p]
-        value = values[row, gone]
-        here, lower = gone == at, gone < at
-        a, b = before[row, gone], after[row, gone]
-        keep = a >= 0
-        after[row[keep], a[keep]] = b[keep]
-        keep = b < n
-        before[row[keep], b[keep]] = a[keep]
-        low = low - np.where(lower | here, value, 0.0)
-        high = high - np.where(lower | here, 0.0, value)
-        if left % 2:  # one more below than above: a removal above leaves two too many below
-            step = ~(lower | here)  # the pointer goes down, its value goes above
-            new = np.where(here, a, at)
-            moved = values[row, at]
-            new = np.where(step, before[row, at], new)
-            low = low - np.where(step, moved, 0.0)
-            high = high + np.where(step, moved, 0.0)
-        else:  # as many below as above: a removal below moves the next one down
-            step = lower | here
-            new = np.where(step, np.where(here, b, after[row, at]), at)
-            moved = values[row, np.minimum(new, n - 1)]
-            low = low + np.where(step, moved, 0.0)
-            high = high - np.where(step, moved, 0.0)
-        at = new.astype(np.int32)
+        gone = going[p]
+        cell = base + gone
+        lost, a, b = value.take(cell), before.take(cell), after.take(cell)
+        after[base + a] = b
+        before[base + b] = a
+        below = gone <= at
+        apart += np.where(below, lost, -lost)
+        if left % 2:  # one more below than above: the pointer goes down unless one below it went
+            apart += np.where(gone > at, 2 * median, 0.0)
+            at = np.where(gone >= at, before.take(here), at)
+        else:  # as many below as above: it goes up if one below it, or its own, went
+            new = after.take(here)
+            apart -= np.where(below, 2 * value.take(base + np.minimum(new, n)), 0.0)
+            at = np.where(below, new, at)
     return out
 
 
@@ -126,40 +119,83 @@ def split_scores(x: np.ndarray, y: np.ndarray, norm: int, balance: float, kind:
     power ``balance``.
     """
     n, inputs = x.shape
-    orders = np.argsort(x, 0, kind="stable").T
-    out = np.empty((inputs, n))
     p = np.arange(n)
     up, down = ((n - p) / n) ** balance, ((p + 1) / n) ** balance
-    step = max(1, STEP_CELLS // max(1, n * y.shape[1]))
-    for lo in range(0, inputs, step):
-        some = orders[lo : lo + step]
-        if kind == "sme":
-            by_value = np.argsort(y, 0, kind="stable")
-            rank = np.empty_like(by_value)
-            np.put_along_axis(rank, by_value, np.arange(n)[:, None], 0)
-            ranked = rank[np.concatenate((some, some[:, ::-1]))].transpose(0, 2, 1).reshape(-1, n).astype(np.int32)
-            d = removed_sme(ranked, np.tile(np.sort(y, 0).T, (2 * len(some), 1))).reshape(n + 1, 2, len(some), -1)
-            right, left = (d[:, 0] ** norm).sum(2), (d[:, 1] ** norm).sum(2)
-        else:
-            right, left = (np.stack([(left_dispersion(o, y, kind) ** norm).sum(1) for o in way], 1) for way in (some, some[:, ::-1]))
-        # right of p: the first p + 1 gone; left of p: of the other way round the first n - p gone
-        out[lo : lo + step] = (right[1:] * up[:, None] + left[1:][::-1] * down[:, None]).T
-    return out, orders
+    if kind == "sme":
+        right, left, orders = (m[0] for m in _sme_sides(x[None], y[None], norm))
+    else:
+        orders = np.argsort(x, 0, kind="stable").T
+        right, left = (np.stack([(left_dispersion(o, y, kind) ** norm).sum(1) for o in way]) for way in (orders, orders[:, ::-1]))
+    # right of p: the first p + 1 gone; left of p: of the other way round the first n - p gone
+    return right[:, 1:] * up + left[:, 1:][:, ::-1] * down, orders
 
 
-def best_split(x: np.ndarray, y: np.ndarray, norm: int, balance: float, kind: str = "sme", guard: int = 2) -> tuple[int, int, float, float] | None:
-    """(input, row, score, gain) of the least score with ``guard`` rows or more on both sides; the first one on ties."""
-    n = len(x)
+def _sme_sides(x: np.ndarray, y: np.ndarray, norm: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For draws ``x`` (nodes, n, inputs) and ``y`` (nodes, n, targets): dispersions of what is left, taken away in each input's order and the other way round, both (nodes, inputs, n + 1), and the orders.
+
+    All pairs of all nodes step together, as many as a step takes.
+    """
+    nodes, n, inputs = x.shape
+    targets = y.shape[2]
+    orders = np.argsort(x, 1, kind="stable").transpose(0, 2, 1)
+    rank = np.empty(y.shape, np.int32)
+    np.put_along_axis(rank, np.argsort(y, 1, kind="stable"), np.arange(n, dtype=np.int32)[None, :, None], 1)
+    values = np.sort(y, 1).transpose(0, 2, 1)
+    out = np.empty((2, nodes * inputs, n + 1))
+    flat = orders.reshape(-1, n)
+    of = np.repeat(np.arange(nodes), inputs)
+    step = max(1, STEP_CELLS // max(1, 2 * targets * n))
+    for lo in range(0, nodes * inputs, step):
+        some, node = flat[lo : lo + step], of[lo : lo + step]
+        both = np.concatenate((some, some[:, ::-1]))
+        node2 = np.concatenate((node, node))
+        ranked = rank[node2[:, None], both].transpose(0, 2, 1).reshape(-1, n)
+        d = removed_sme(ranked, values[node2].reshape(-1, n)).reshape(n + 1, 2, len(some), targets)
+        out[:, lo : lo + step] = (d**norm).sum(3).transpose(1, 2, 0)
+    right, left = out.reshape(2, nodes, inputs, n + 1)
+    return right, left, orders
+
+
+def _least(scores: np.ndarray, orders: np.ndarray, guard: int) -> tuple[int, int, float] | None:
+    """(input, row, score) of the least score with ``guard`` rows or more on both sides; the first one on ties."""
+    n = scores.shape[1]
     if n < 2 * guard + 1:
         return None
-    scores, orders = split_scores(x, y, norm, balance, kind)
     fine = scores[:, guard : n - guard + 1] if guard else scores
-    i = int(np.nanargmin(fine)) if np.isfinite(fine).any() else -1
-    if i < 0:
+    if not np.isfinite(fine).any():
         return None
-    i, p = divmod(i, fine.shape[1])
-    whole = float((left_dispersion(orders[i], y, kind)[0] ** norm).sum())
-    return i, int(orders[i, p + guard]), float(scores[i, p + guard]), whole - float(scores[i, p + guard])
+    i, p = divmod(int(np.nanargmin(fine)), fine.shape[1])
+    return i, int(orders[i, p + guard]), float(scores[i, p + guard])
+
+
+def best_splits(draws_: list[tuple[np.ndarray, np.ndarray]], norm: int, balance: float, kind: str = "sme", guard: int = 2) -> list[tuple[int, int, float, float] | None]:
+    """(input, row, score, gain) of the best split of each draw ``(x, y)``; draws of one shape are searched together."""
+    out: list[tuple[int, int, float, float] | None] = [None] * len(draws_)
+    shapes: dict[tuple, list[int]] = {}
+    for i, (x, y) in enumerate(draws_):
+        shapes.setdefault((x.shape, y.shape), []).append(i)
+    for ((n, inputs), (_, targets)), which in shapes.items():
+        step = max(1, STEP_CELLS // max(1, 2 * inputs * targets * n)) if kind == "sme" else 1
+        p = np.arange(n)
+        up, down = ((n - p) / n) ** balance, ((p + 1) / n) ** balance
+        for lo in range(0, len(which), step):
+            some = which[lo : lo + step]
+            if kind == "sme":
+                right, left, orders = _sme_sides(np.stack([draws_[i][0] for i in some]), np.stack([draws_[i][1] for i in some]), norm)
+                scores, whole = right[:, :, 1:] * up + left[:, :, 1:][:, :, ::-1] * down, right[:, 0, 0]
+            else:
+                one, order = split_scores(*draws_[some[0]], norm, balance, kind)
+                scores, orders = one[None], order[None]
+                whole = [(left_dispersion(order[0], draws_[some[0]][1], kind)[0] ** norm).sum()]
+            for k, i in enumerate(some):
+                found = _least(scores[k], orders[k], guard)
+                out[i] = None if found is None else (*found, float(whole[k]) - found[2])
+    return out
+
+
+def best_split(x: np.ndarray, y: np.ndarray, norm: int, balance: float, kind: str = "sme", guard: int = 2) -> tuple[int, int, float, float] | None:
+    """(input, row, score, gain) of the least score with ``guard`` rows or more on both sides; the first one on ties."""
+    return best_splits([(x, y)], norm, balance, kind, guard)[0]
 
 
 # ---- component reduction
@@ -218,8 +254,8 @@ def first_rows(n: int, params: ForestParams) -> float:
     return min(1.0, (need + 6 * math.sqrt(need) + 20) / max(1, n))
 
 
-def node_split(ids, hashes, x, y, tree: int, node: int, n: int, params: ForestParams, root: bool, inputs: int, outputs: int) -> tuple[list[int], list[float], list[float], float, float] | None:
-    """(features, scores, means, threshold, gain) of the split of one node, or none.
+def prepared(ids, hashes, x, y, tree: int, node: int, n: int, params: ForestParams, root: bool, inputs: int, outputs: int) -> tuple[list, list, list, np.ndarray, np.ndarray] | None:
+    """(features, scores, means) of each candidate test of a node, its values on the draw, and the targets; none if it can't split.
 
     ``x`` and ``y`` hold the drawn features only, of the rows sent.
     """
@@ -246,11 +282,20 @@ def node_split(ids, hashes, x, y, tree: int, node: int, n: int, params: ForestPa
         _, y, _ = components(y, params.braids, params.row_sum_scaling)
     if not y.shape[1] or not np.ptp(values, axis=0).any():
         return None
-    found = best_split(values, y, params.norm, params.balance, params.dispersion, params.guard)
-    if found is None:
-        return None
-    i, at, _, gain = found
-    return features[i], scores[i], means[i], float(values[at, i]), gain
+    return features, scores, means, values, y
+
+
+def node_splits(nodes: list[tuple], params: ForestParams) -> list[tuple[list[int], list[float], list[float], float, float] | None]:
+    """(features, scores, means, threshold, gain) of the split of each of some ``prepared`` nodes, or none."""
+    ready = [i for i, p in enumerate(nodes) if p is not None]
+    found = best_splits([nodes[i][3:] for i in ready], params.norm, params.balance, params.dispersion, params.guard)
+    out: list = [None] * len(nodes)
+    for i, got in zip(ready, found, strict=True):
+        if got is not None:
+            features, scores, means, values, _ = nodes[i]
+            k, row, _, gain = got
+            out[i] = features[k], scores[k], means[k], float(values[row, k]), gain
+    return out
 
 
 # ---- all nodes of a level
@@ -265,33 +310,35 @@ def _send(held, seed: int):
     schema = pa.schema([("node", pa.int64()), ("tree", pa.int32()), ("n", pa.int64()), ("sample_id", pa.int64()), ("hash", pa.float64()), ("x", pa.list_(pa.float64())), ("y", pa.list_(pa.float64()))])
 
     def run(batches):
-        state, open_ = held.value
+        state, (nodes, trees, sizes, under, ins, outs) = held.value
         router = Router.of(state)
         for batch in batches:
             ids, x, y = batch.column(0).to_numpy(), matrix(batch.column(1)), matrix(batch.column(2))
             leaves = router.leaves(x)
             for t in range(leaves.shape[1]):
-                for node in np.unique(leaves[:, t]).tolist():
-                    if node not in open_:
-                        continue
-                    tree, n, under, ins, outs = open_[node]
-                    rows = np.flatnonzero(leaves[:, t] == node)
-                    h = uniform(ids[rows], seed, node)
-                    rows, h = rows[h < under], h[h < under]
-                    if len(rows):
-                        size = len(rows)
-                        lists = [pa.ListArray.from_arrays(pa.array(np.arange(size + 1, dtype=np.int32) * m.shape[1]), pa.array(m.ravel())) for m in (x[np.ix_(rows, ins)], y[np.ix_(rows, outs)])]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(size, node)), pa.array(np.full(size, tree, np.int32)), pa.array(np.full(size, n)), pa.array(ids[rows]), pa.array(h), *lists], schema=schema)
+                at = np.minimum(np.searchsorted(nodes, leaves[:, t]), max(0, len(nodes) - 1))
+                rows = np.flatnonzero(nodes[at] == leaves[:, t]) if len(nodes) else np.zeros(0, np.int64)
+                h = uniform(ids[rows], seed, leaves[rows, t])
+                near = h < under[at[rows]]
+                rows, h = rows[near], h[near]
+                at = at[rows]
+                if len(rows):
+                    values = (x[rows[:, None], ins[at]], y[rows[:, None], outs[at]])
+                    lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.ravel())) for m in values]
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes[at]), pa.array(trees[at]), pa.array(sizes[at]), pa.array(ids[rows]), pa.array(h), *lists], schema=schema)
 
     return run
 
 
 def _search(params: ForestParams, first: int, inputs: int, outputs: int):
     def run(table: pa.Table) -> pa.Table:
-        node, tree, n = (table[c][0].as_py() for c in ("node", "tree", "n"))
+        node, tree, n, ids, hashes = (table[c].to_numpy() for c in ("node", "tree", "n", "sample_id", "hash"))
         x, y = (matrix(table[c].combine_chunks()) for c in ("x", "y"))
-        got = node_split(table["sample_id"].to_numpy(), table["hash"].to_numpy(), x, y, tree, node, n, params, node < first, inputs, outputs)
-        rows = [] if got is None else [(node, *got)]
+        order = np.argsort(node, kind="stable")
+        cuts = np.flatnonzero(np.diff(node[order], prepend=-1))
+        parts = np.split(order, cuts[1:])
+        ready = [prepared(ids[r], hashes[r], x[r], y[r], int(tree[r[0]]), int(node[r[0]]), int(n[r[0]]), params, int(node[r[0]]) < first, inputs, outputs) for r in parts]
+        rows = [(int(node[r[0]]), *got) for r, got in zip(parts, node_splits(ready, params), strict=True) if got is not None]
         kinds = pa.schema([("node", pa.int64()), ("features", pa.list_(pa.int32())), ("scores", pa.list_(pa.float64())), ("means", pa.list_(pa.float64())), ("split", pa.float64()), ("gain", pa.float64())])
         return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(kinds)], schema=kinds)
 
@@ -358,6 +405,9 @@ def grow(samples: DataFrame, params: ForestParams, targets: DataFrame | None = N
         raise ValueError("vectors must have one length and finite numbers only")
     if not n:
         return Forest(spark, [Split() for _ in range(params.trees)], params.row_sum_scaling)
+    spread = data.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism
+    if spread:  # a small matrix in a few files: dealt out once, for every level reads it twice
+        data = data.repartition(spark.sparkContext.defaultParallelism, "sample_id").persist()
     growing, gains = _Growing(params.trees), {}
     open_ = {t: n for t in range(params.trees)} if params.depth > 0 else {}
     for depth in range(params.depth):
@@ -367,11 +417,15 @@ def grow(samples: DataFrame, params: ForestParams, targets: DataFrame | None = N
         plan = {node: (growing.tree[node], k, first_rows(k, params), *draws(params.seed, growing.tree[node], node, k, params, inputs, outputs)[1:]) for node, k in open_.items()}
         sent = None
         for router in growing.routers(params.row_sum_scaling):
-            own = set(router.ids.tolist())
-            held = spark.sparkContext.broadcast((router.__dict__, {k: v for k, v in plan.items() if k in own}))
+            own = sorted(set(router.ids.tolist()) & set(plan))
+            columns = [[plan[k][i] for k in own] for i in range(5)]
+            table = (np.array(own, np.int64), np.array(columns[0], np.int32), np.array(columns[1], np.int64), np.array(columns[2], float), np.array(columns[3], np.int32).reshape(len(own), -1), np.array(columns[4], np.int32).reshape(len(own), -1))
+            held = spark.sparkContext.broadcast((router.__dict__, table))
             part = data.mapInArrow(_send(held, params.seed), _SENT)
             sent = part if sent is None else sent.unionByName(part)
-        found = sent.groupBy("node").applyInArrow(_search(params, params.trees, inputs, outputs), _FOUND).collect()  # a row for each node of the level
+        size = sum(min(1.0, p[2]) * p[1] for p in plan.values()) * (params.in_features + params.out_features) * 8
+        lots = max(1, min(len(plan), max(int(size // SEARCH_BYTES), 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
+        found = sent.groupBy(F.pmod("node", F.lit(lots))).applyInArrow(_search(params, params.trees, inputs, outputs), _FOUND).collect()  # a row for each node of the level
         tried = []
         for r in sorted(found, key=lambda r: r.node):
             gains[r.node] = r.gain
@@ -389,6 +443,8 @@ def grow(samples: DataFrame, params: ForestParams, targets: DataFrame | None = N
                 growing.undo(node)
             elif depth + 1 < params.depth:
                 open_ |= {left: counts[left], right: counts[right]}
+    if spread:
+        data.unpersist()
     if params.max_splits:
         for t in range(params.trees):
             _keep_best(growing, t, gains, params.max_splits)

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import json
+import shutil
+import tempfile
+import uuid
 from bisect import bisect_left
 from dataclasses import replace
 
@@ -10,10 +15,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import linear_score, scaled_score, tsv
-from ..operators import compare, evaluate, factors, neighbours, order, training
+from ..operators import compare, evaluate, factors, neighbours, order, paths, reports, training
+from ..operators.forest import Forest
 from ..operators.model import ForestModel
 from ..operators.routing import matrix
 from ..params import ForestParams
+from ..sources import matrix as sources
 from ..sources.matrix import cells, embeddings, unique_names
 from .relations import Relations, fixture_relations
 
@@ -471,6 +478,131 @@ def clu_leaves(spark, sf):
     return neighbours.cluster_rows(rows.join(m.forest.nodes.where("is_leaf").select(F.col("node_id").alias("id")), "id", "left_semi"), 5, "cosine")
 
 
+def trv_path_vectors(spark, sf):
+    return paths.path_vectors(fixture_relations(spark, sf).forest).select("node_id", F.array_join(F.transform("path", lambda n: n.cast("string")), "/").alias("path"))
+
+
+def trv_consensus_levels(spark, sf):
+    r = fixture_relations(spark, sf)
+    return paths.consensus_levels(r.forest, r.clusters).select("cluster_id", "level", "ancestor_id", r6("share").alias("share"))
+
+
+def trv_sorted_nodes(spark, sf):
+    r = fixture_relations(spark, sf)
+    return paths.sorted_nodes(r.forest, r.samples).select("node_id", "sample_id", "place")
+
+
+def enc_path(spark, sf):
+    """Clusters by nodes, 0 or 1."""
+    r = fixture_relations(spark, sf)
+    every = r.clusters.select("cluster_id").distinct().crossJoin(F.broadcast(r.forest.nodes.select("node_id")))  # clusters times nodes, both bounded by the forest
+    return every.join(r.clusters.withColumn("value", F.lit(1)), ["cluster_id", "node_id"], "left").select("cluster_id", "node_id", F.coalesce("value", F.lit(0)).alias("value"))
+
+
+def enc_biclustered(spark, sf):
+    r = fixture_relations(spark, sf)
+    rows = _node_rows(r).orderBy("id").collect()  # one a node
+    nodes, features = paths.biclustered(np.array([x.x for x in rows]))
+    return spark.createDataFrame([("node", p, int(rows[i].id)) for p, i in enumerate(nodes)] + [("feature", p, int(i)) for p, i in enumerate(features)], "kind string, place long, id long")
+
+
+# ---- sources and sinks, written and read again
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder where the cluster shares files; a temporary one in local sessions that name none."""
+    conf = spark.sparkContext.getConf()
+    found = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="silvaframe-")
+        atexit.register(shutil.rmtree, found, True)
+    path = f"{found.rstrip('/')}/source-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
+def src_matrix_text(spark, sf):
+    path = _folder(spark)
+    sources.write_matrix(embeddings(spark, sf), path)
+    return cells(sources.read_matrix(spark, f"{path}/*.txt")).select("sample_id", "feature_id", r6("value").alias("value"))
+
+
+def src_triples(spark, sf):
+    path = _folder(spark)
+    c = cells(embeddings(spark, sf)).where("value > 0")
+    c.select(F.col("sample_id") + 1, F.col("feature_id") + 1, "value").write.csv(path, sep=" ")
+    return sources.read_triples(spark, path, least_sample=2.5).select("sample_id", "feature_id", r6("value").alias("value"))
+
+
+def src_mtx(spark, sf):
+    path = _folder(spark)
+    c = cells(embeddings(spark, sf)).where("value > 0").select(F.concat_ws(" ", (F.col("sample_id") + 1).cast("string"), (F.col("feature_id") + 1).cast("string"), F.col("value").cast("string")).alias("value"))
+    spark.createDataFrame([("%%MatrixMarket matrix coordinate real general",), ("0 0 0",)], "value string").coalesce(1).write.text(f"{path}/a")
+    c.write.text(f"{path}/b")
+    return sources.read_mtx(spark, f"{path}/*/*.txt").select("sample_id", "feature_id", r6("value").alias("value"))
+
+
+def src_header_file(spark, sf):
+    path = _folder(spark)
+    sources.write_names(spark, [f'"g{i % 7}"' for i in range(64)], path)
+    return sources.read_header(spark, f"{path}/*.txt").select(F.col("feature_id").cast("int").alias("feature_id"), "name")
+
+
+def src_node_labels(spark, sf):
+    r = fixture_relations(spark, sf)
+    path = _folder(spark)
+    label = {x.node_id: x.cluster_id for x in r.clusters.collect()}
+    sources.write_names(spark, [str(label.get(i, "")) for i in range(len(r.forest.rows))], path)
+    return sources.read_labels(spark, f"{path}/*.txt")
+
+
+def snk_tree_json(spark, sf):
+    """The fixture forest as JSON files, read again: nodes with their tests."""
+    r = fixture_relations(spark, sf)
+    path = _folder(spark)
+    sources.write_trees(r.forest, r.samples, path)
+    back = Forest(spark, sources.read_trees(spark, f"{path}/*/*.txt"))
+    return back.nodes.select("node_id", "tree_id", "parent_id", "level", "lr", F.get("features", F.lit(0)).alias("feature"))
+
+
+def snk_tree_samples(spark, sf):
+    """Samples of each node of the tree files."""
+    r = fixture_relations(spark, sf)
+    path = _folder(spark)
+    sources.write_trees(r.forest, r.samples, path)
+    got = sources.tree_samples(spark, f"{path}/*/*.txt")
+    tree = F.regexp_extract("tree", r"tree_id=(\d+)", 1).cast("long")
+    return got.select((tree * 7 + F.col("node_id")).alias("node_id"), "sample_id")
+
+
+def snk_backup(spark, sf):
+    """A model stored and restored: its mean prediction."""
+    r = fixture_relations(spark, sf)
+    path = _folder(spark)
+    _model(r).backup(path)
+    m = ForestModel.restore(spark, path)
+    return m.predict(m.samples).predicted("mean").select("sample_id", F.posexplode("predicted").alias("feature_id", "p")).select("sample_id", "feature_id", r6("p").alias("predicted"))
+
+
+def snk_cluster_json(spark, sf):
+    """The summary of each cluster as JSON."""
+    r = fixture_relations(spark, sf)
+    about = reports.cluster_summary(_model(r), r.clusters, 5)
+    return spark.createDataFrame([(c, json.dumps(a, sort_keys=True)) for c, a in sorted(about.items())], "cluster_id int, summary string")
+
+
+def snk_pages(spark, sf):
+    """The HTML pages of the clusters and the consensus tree."""
+    r = fixture_relations(spark, sf)
+    about = reports.cluster_summary(_model(r), r.clusters, 5)
+    tree = factors.spanning_tree(factors.square(factors.affinity(_model(r), r.clusters)))
+    pages = {f"cluster-{c}": reports.cluster_page(c, a) for c, a in about.items()} | {"tree": reports.tree_page(tree, about)}
+    return spark.createDataFrame(sorted(pages.items()), "name string, page string")
+
+
 def prd_out_of_bag(spark, sf):
     s = embeddings(spark, sf).select("sample_id", "x")
     held = F.pmod(F.xxhash64("sample_id", F.lit(GROWN.seed)), F.lit(5)) == 0
@@ -486,7 +618,8 @@ QUERIES = {f.__name__: f for f in (
     cmp_fraction_mwu, cmp_factor_fvu, cmp_factor_residuals, cmp_factor_means_rank, cmp_factor_marginals, cmp_all_factors, enc_weight, enc_principal,
     nb_negative_binomial, nb_poisson_ks, pre_filtered, pre_downsampled, nb_pca_baseline, nb_silhouette, nb_jaccard_runs, nb_mutual_information,
     nb_cross_validation, nb_simulated, src_auto_parameters, src_header, snk_tsv, trn_split_scores, trn_best_split, trn_grown_nodes,
-    trn_grown_populations, trn_grown_report, trn_reduced_nodes, clu_interpret_splits, clu_samples, clu_samples_by_leaves, clu_leaves, prd_out_of_bag,
+    trn_grown_populations, trn_grown_report, trn_reduced_nodes, clu_interpret_splits, clu_samples, clu_samples_by_leaves, clu_leaves, prd_out_of_bag, trv_path_vectors, trv_consensus_levels, trv_sorted_nodes, enc_path, enc_biclustered, src_matrix_text, src_triples,
+    src_mtx, src_header_file, src_node_labels, snk_tree_json, snk_tree_samples, snk_backup, snk_cluster_json, snk_pages,
 )}
 QUERIES |= {f"fac_change_{k}": _changes(*a) for k, a in {"abs": ("parent",), "sister": ("sister",), "root": ("root",), "log2": ("parent", True), "log2_sister": ("sister", True), "log2_root": ("root", True)}.items()}
 QUERIES |= {f"enc_{k}": _representation(k) for k in ("gain", "error_ratio", "partial", "additive")}

@@ -86,6 +86,18 @@ TWINS: dict[str, str] = {
         f AS (SELECT feature_id FROM l GROUP BY feature_id HAVING count(*) FILTER (WHERE value <> 0) >= 400) SELECT sample_id, feature_id, value FROM l WHERE feature_id IN (SELECT feature_id FROM f)""",
     "nb_jaccard_runs": """WITH l AS (SELECT sample_id, label AS i, CASE WHEN x[1] > 0 THEN 1 ELSE 0 END AS j FROM {sample}), pairs AS (SELECT i, j, count(*) AS n FROM l GROUP BY i, j), scored AS (SELECT i, j, n / ((SELECT count(*) FROM l a WHERE a.i = p.i) + (SELECT count(*) FROM l b WHERE b.j = p.j) - n) AS jaccard FROM pairs p)
         SELECT i, j, {r: jaccard :r} AS jaccard FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY jaccard DESC, j) AS place FROM scored) q WHERE place = 1""",
+    "trv_path_vectors": "SELECT node_id, string_agg(ancestor_id::VARCHAR, '/' ORDER BY distance DESC) AS path FROM {path} GROUP BY node_id",
+    "trv_consensus_levels": "SELECT k.cluster_id, n.level, p.ancestor_id, {r: count(*) / max(z.n) :r} AS share FROM {cluster} k JOIN {path} p ON p.node_id = k.node_id JOIN {node} n ON n.node_id = p.ancestor_id JOIN (SELECT cluster_id, count(*) AS n FROM {cluster} GROUP BY cluster_id) z ON z.cluster_id = k.cluster_id GROUP BY k.cluster_id, n.level, p.ancestor_id",
+    "trv_sorted_nodes": "SELECT m.node_id, m.sample_id, row_number() OVER (PARTITION BY m.node_id ORDER BY c.value, c.sample_id) - 1 AS place FROM {member} m JOIN (SELECT DISTINCT parent_id AS node_id, feature FROM {node} WHERE parent_id IS NOT NULL) t ON t.node_id = m.node_id JOIN {cell} c ON c.sample_id = m.sample_id AND c.feature_id = t.feature",
+    "enc_path": "SELECT c.cluster_id, n.node_id, CASE WHEN k.node_id IS NULL THEN 0 ELSE 1 END AS value FROM (SELECT DISTINCT cluster_id FROM {cluster}) c CROSS JOIN {node} n LEFT JOIN {cluster} k ON k.cluster_id = c.cluster_id AND k.node_id = n.node_id",
+    "src_matrix_text": "SELECT sample_id, feature_id, {r: value :r} AS value FROM {cell}",
+    "src_triples": "SELECT c.sample_id, feature_id, {r: value :r} AS value FROM {cell} c JOIN (SELECT sample_id FROM {cell} WHERE value > 0 GROUP BY sample_id HAVING sum(value) >= 2.5) s ON s.sample_id = c.sample_id WHERE value > 0",
+    "src_mtx": "SELECT sample_id, feature_id, {r: value :r} AS value FROM {cell} WHERE value > 0",
+    "src_header_file": "SELECT range::INTEGER AS feature_id, CASE WHEN range < 7 THEN 'g' || range % 7 ELSE 'g' || range % 7 || range // 7 END AS name FROM range(64)",
+    "src_node_labels": "SELECT node_id, cluster_id FROM {cluster}",
+    "snk_tree_json": "SELECT node_id, tree_id, parent_id, level, lr, feature FROM {node}",
+    "snk_tree_samples": "SELECT node_id, sample_id FROM {member}",
+    "snk_backup": "SELECT m.sample_id, f.feature_id, {r: avg(f.mean) :r} AS predicted FROM {member} m JOIN {node} n ON n.node_id = m.node_id AND n.is_leaf = 1 JOIN {nf} f ON f.node_id = m.node_id GROUP BY m.sample_id, f.feature_id",
     "win_suffix_median": f"SELECT feature_id, p, {{r: m :r}} AS value FROM ({_RIGHT}) q",
     "win_prefix_median": "SELECT feature_id, p, {r: median(y) OVER (PARTITION BY feature_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) :r} AS value FROM (" + _ORDERED + ") o",
     "win_suffix_mean": "SELECT feature_id, p, {r: avg(y) OVER (PARTITION BY feature_id ORDER BY p ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) :r} AS value FROM (" + _ORDERED + ") o",

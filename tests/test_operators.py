@@ -90,6 +90,13 @@ def test_split_scores_against_brute_force(norm, balance):
     assert score == pytest.approx(want[:, 2:29].min()) and orders[i].tolist().index(row) in range(2, 29)
 
 
+def test_draws_are_searched_together():
+    rng = np.random.default_rng(11)
+    some = [(rng.standard_normal((n, 3)), rng.standard_normal((n, 2))) for n in (20, 20, 9, 20, 4)]
+    assert training.best_splits(some, 1, 0.5) == [training.best_split(*d, 1, 0.5) for d in some]
+    assert training.best_splits(some, 1, 0.5)[4] is None
+
+
 def test_golden_split(samples, spark, sf):
     v = np.array([r.x for r in matrix.embeddings(spark, sf).where("sample_id < 60").orderBy("sample_id").collect()])
     i, row, score, _ = training.best_split(v[:, :1], v[:, 1:3], 1, 0.0)
@@ -125,7 +132,7 @@ def test_grown_splits_follow_the_draw(grown, samples, x):
         rows = at[number[id(node)]]
         h = training.uniform(ids[rows], PARAMS.seed, own)
         _, ins, outs = training.draws(PARAMS.seed, tree, own, len(rows), PARAMS, 8, 8)
-        got = training.node_split(ids[rows], h, x[np.ix_(rows, ins)], x[np.ix_(rows, outs)], tree, own, len(rows), PARAMS, level == 0, 8, 8)
+        got = training.node_splits([training.prepared(ids[rows], h, x[np.ix_(rows, ins)], x[np.ix_(rows, outs)], tree, own, len(rows), PARAMS, level == 0, 8, 8)], PARAMS)[0]
         if node.left is None:
             return
         assert got is not None and tuple(got[0]) == node.features and got[3] == node.split
@@ -540,3 +547,13 @@ def test_populations_that_are_alike_do_not_differ(grown, clusters, samples):
         assert r.fvu == pytest.approx(r.other_fvu) and (r.residual_z or 0.0) == pytest.approx(0.0, abs=1e-9)
     for r in compare.factor_marginals(grown, s, s, clusters).collect():
         assert r.own_distance == pytest.approx(r.other_distance)
+
+
+def test_average_linkage_keeps_groups_together():
+    from silvaframe.operators import paths
+
+    v = np.array([[0.0], [10.0], [0.2], [10.1], [0.1], [30.0]])
+    order_ = paths.average_linkage(v)
+    assert sorted(order_) == list(range(6)) and sorted(order_[:3]) == [0, 2, 4] and sorted(order_[3:5]) == [1, 3]
+    assert paths.average_linkage(v[:1]) == [0] and paths.average_linkage(v[:0]) == []
+    assert paths.biclustered(v)[1] == [0]
