@@ -78,6 +78,29 @@ def _route(held):
     return run
 
 
+def scored(held, width: int, trees: int = 0):
+    """Vectors of the leaves that rows reach, added up over trees: over those with one, or over ``trees`` if that is given."""
+
+    def run(batches):
+        states, ids, vectors = held.value
+        routers = [Router.of(s) for s in states]
+        for batch in batches:
+            x = matrix(batch.column(1))
+            total, hits = np.zeros((len(x), width)), np.zeros(len(x))
+            for router in routers:
+                leaves = router.leaves(x)
+                for t in range(leaves.shape[1]):
+                    at = np.minimum(np.searchsorted(ids, leaves[:, t]), max(0, len(ids) - 1))
+                    known = ids[at] == leaves[:, t] if len(ids) else np.zeros(len(x), bool)
+                    total[known] += vectors[at[known]]
+                    hits += known
+            out = total / (trees or np.maximum(hits, 1)[:, None])
+            bounds = pa.array(np.arange(len(x) + 1, dtype=np.int32) * width)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(bounds, pa.array(out.ravel()))], names=["sample_id", "predicted"])
+
+    return run
+
+
 _SUMS = pa.schema([("leaf_id", pa.int64()), ("n", pa.int64()), ("sums", pa.list_(pa.float64())), ("squares", pa.list_(pa.float64()))])
 
 
@@ -218,14 +241,31 @@ class Forest:
         mean, other = F.col("s") / F.col("n"), F.coalesce("parent_mean", F.lit(0.0))
         return out.select("node_id", "feature_id", "n", mean.alias("mean"), F.greatest(F.lit(0.0), F.col("q") - F.col("s") * mean).alias("sse"), "parent_mean", F.greatest(F.lit(0.0), F.col("q") - 2 * other * F.col("s") + F.col("n") * other * other).alias("parent_sse"))
 
+    def by_leaves(self, samples: DataFrame, ids: np.ndarray, vectors: np.ndarray, over_all: bool = False) -> DataFrame:
+        """``(sample_id, predicted)``: ``vectors`` of the leaves ``ids`` (sorted) that samples reach, averaged over trees; one pass, no shuffle.
+
+        Vectors are broadcast, so the caller has checked their size. With
+        ``over_all`` leaves that aren't among ``ids`` count as zeros.
+        """
+        width = vectors.shape[1]
+        held = self.spark.sparkContext.broadcast(([r.__dict__ for r in self.routers()], ids, vectors))
+        rows = samples.select("sample_id", F.col("x").cast("array<double>").alias("x"))
+        return rows.mapInArrow(scored(held, width, len(self.trees) if over_all else 0), "sample_id long, predicted array<double>")
+
+    def fits(self, width: int) -> bool:
+        """Whether vectors of ``width`` numbers for all nodes are small enough to broadcast."""
+        return len(self.rows) * width * 8 <= TABLE_BYTES
+
     def predict(self, samples: DataFrame, leaf_means: DataFrame, width: int) -> DataFrame:
         """``(sample_id, predicted)``: leaf means averaged over the trees in whose leaf there is one; zeros if none.
 
         ``leaf_means(node_id, means)`` are vectors of ``width`` numbers; they
         are broadcast if forest and width keep them small, else joined.
         """
-        leaves = sum(r[6] for r in self.rows)
-        means = self._small(leaf_means.withColumnRenamed("node_id", "leaf_id"), leaves * width * 8)
+        if self.fits(width):
+            got = sorted((r.node_id, r.means) for r in leaf_means.collect())
+            return self.by_leaves(samples, np.array([i for i, _ in got], np.int64), np.array([m for _, m in got], float).reshape(len(got), width))
+        means = leaf_means.withColumnRenamed("node_id", "leaf_id")
         hit = self.leaves_of(samples).join(means, "leaf_id", "left").select("sample_id", F.posexplode_outer("means").alias("f", "m"))
         flat = hit.groupBy("sample_id", "f").agg(F.avg("m").alias("m"))
         rows = flat.groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.when(F.col("f").isNotNull(), F.struct("f", "m")))).alias("got"))

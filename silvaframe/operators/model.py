@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import asdict
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..params import ForestParams
@@ -33,6 +34,8 @@ class Prediction:
         m = self.model
         if mode == "mean":
             return m.forest.predict(self.samples, m.forest_leaf_means(), m.width)
+        if m.forest.fits(m.width):
+            return m.forest.by_leaves(self.samples, *m.leaf_gains(), over_all=True)
         members = m.forest.members(self.samples)
         gains = m.node_features().select("node_id", "feature_id", (F.col("mean") - F.coalesce("parent_mean", F.lit(0.0))).alias("gain"))
         gains = gains.groupBy("node_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("feature_id", "gain"))), lambda g: g["gain"]).alias("gains"))
@@ -92,6 +95,19 @@ class ForestModel:
         cells = self.node_features().join(Forest._small(leaf, len(self.forest.rows) * 8), "node_id", "left_semi")
         return cells.groupBy("node_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("feature_id", "mean"))), lambda m: m["mean"]).alias("means"))
 
+    def leaf_gains(self) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all leaves, sorted, and for each the sum of its own and its ancestors' gains over their parents; zeros where there are none."""
+        at = self.node_features().select("node_id", "feature_id", (F.col("mean") - F.coalesce("parent_mean", F.lit(0.0))).alias("gain")).toArrow()
+        gains = np.zeros((len(self.forest.rows), self.width))
+        gains[at["node_id"].to_numpy(), at["feature_id"].to_numpy()] = at["gain"].to_numpy()
+        leaves = np.array([r[0] for r in self.forest.rows if r[6]], np.int64)
+        place = {n: i for i, n in enumerate(leaves.tolist())}
+        total = np.zeros((len(leaves), self.width))
+        for node, up, _ in self.forest.closure:
+            if node in place:
+                total[place[node]] += gains[up]
+        return leaves, total
+
     def predict(self, samples: DataFrame) -> Prediction:
         return Prediction(self, samples)
 

@@ -3,33 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from ..operators.forest import TABLE_BYTES
 from ..operators.model import ForestModel
-from ..operators.routing import Router, matrix
-
-
-def _scored(held, width: int):
-    def run(batches):
-        states, ids, means = held.value
-        routers = [Router.of(s) for s in states]
-        for batch in batches:
-            x = matrix(batch.column(1))
-            total, hits = np.zeros((len(x), width)), np.zeros(len(x))
-            for router in routers:
-                leaves = router.leaves(x)
-                for t in range(leaves.shape[1]):
-                    at = np.minimum(np.searchsorted(ids, leaves[:, t]), max(0, len(ids) - 1))
-                    known = ids[at] == leaves[:, t] if len(ids) else np.zeros(len(x), bool)
-                    total[known] += means[at[known]]
-                    hits += known
-            out = total / np.maximum(hits, 1)[:, None]
-            bounds = pa.array(np.arange(len(x) + 1, dtype=np.int32) * width)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(bounds, pa.array(out.ravel()))], names=["sample_id", "predicted"])
-
-    return run
 
 
 def predictions(model: ForestModel, rows: DataFrame) -> DataFrame:
@@ -38,11 +15,7 @@ def predictions(model: ForestModel, rows: DataFrame) -> DataFrame:
     The forest and its leaf means are broadcast, so they must be small:
     over ``TABLE_BYTES`` is an error. Null or ragged vectors are an error.
     """
-    spark = model.forest.spark
-    leaves = sum(r[6] for r in model.forest.rows)
-    if leaves * model.width * 8 > TABLE_BYTES:
-        raise ValueError("the leaf means are too large to broadcast: score in batches with ForestModel.predict")
+    if not model.forest.fits(model.width):
+        raise ValueError(f"leaf means of over {TABLE_BYTES} bytes are too large to broadcast: score in batches with ForestModel.predict")
     got = sorted((r.node_id, r.means) for r in model.forest_leaf_means().collect())
-    ids, means = np.array([i for i, _ in got], np.int64), np.array([m for _, m in got], float).reshape(len(got), -1)
-    held = spark.sparkContext.broadcast(([r.__dict__ for r in model.forest.routers()], ids, means))
-    return rows.select("sample_id", F.col("x").cast("array<double>").alias("x")).mapInArrow(_scored(held, model.width), "sample_id long, predicted array<double>")
+    return model.forest.by_leaves(rows, np.array([i for i, _ in got], np.int64), np.array([m for _, m in got], float).reshape(len(got), model.width))

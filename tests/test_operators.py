@@ -557,3 +557,16 @@ def test_average_linkage_keeps_groups_together():
     assert sorted(order_) == list(range(6)) and sorted(order_[:3]) == [0, 2, 4] and sorted(order_[3:5]) == [1, 3]
     assert paths.average_linkage(v[:1]) == [0] and paths.average_linkage(v[:0]) == []
     assert paths.biclustered(v)[1] == [0]
+
+
+def test_joined_and_broadcast_predictions_agree(grown, samples, monkeypatch):
+    from silvaframe.operators import forest as f
+
+    p = grown.predict(samples.select("sample_id", "x"))
+    small = {m: {r.sample_id: r.predicted for r in p.predicted(m).collect()} for m in model.MODES}
+    monkeypatch.setattr(f, "TABLE_BYTES", 0)
+    for m in model.MODES:
+        got = {r.sample_id: r.predicted for r in p.predicted(m).collect()}
+        assert got.keys() == small[m].keys() and all(np.allclose(got[i], small[m][i]) for i in got)
+    with pytest.raises(ValueError, match="too large"):
+        streaming.predictions(grown, samples)
