@@ -550,6 +550,7 @@ def test_double_neighbours_with_large_ids(spark, sf, tmp_path):
 AT_PLACE = {
     "win_prefix_median": lambda y, p: np.median(y[:p]) if p else None,
     "win_suffix_mad": lambda y, p: np.median(np.abs(y[p + 1 :] - np.median(y[p + 1 :]))) if p + 1 < len(y) else None,
+    "win_suffix_mean": lambda y, p: y[p + 1 :].mean() if p + 1 < len(y) else None,
 }
 
 
