@@ -552,6 +552,7 @@ AT_PLACE = {
     "win_suffix_mad": lambda y, p: np.median(np.abs(y[p + 1 :] - np.median(y[p + 1 :]))) if p + 1 < len(y) else None,
     "win_suffix_mean": lambda y, p: y[p + 1 :].mean() if p + 1 < len(y) else None,
     "win_suffix_median": lambda y, p: np.median(y[p + 1 :]) if p + 1 < len(y) else None,
+    "win_suffix_sme": lambda y, p: np.abs(y[p + 1 :] - np.median(y[p + 1 :])).sum() if p + 1 < len(y) else 0,
 }
 
 
