@@ -554,6 +554,7 @@ AT_PLACE = {
     "win_suffix_median": lambda y, p: np.median(y[p + 1 :]) if p + 1 < len(y) else None,
     "win_suffix_sme": lambda y, p: np.abs(y[p + 1 :] - np.median(y[p + 1 :])).sum() if p + 1 < len(y) else 0,
     "win_suffix_ssme": lambda y, p: ((y[p + 1 :] - np.median(y[p + 1 :])) ** 2).sum() if p + 1 < len(y) else 0,
+    "win_suffix_variance": lambda y, p: y[p + 1 :].var() if p + 1 < len(y) else 0,
 }
 
 
