@@ -662,6 +662,15 @@ def test_suffix_median_looks_up_even_sizes_only(spark, sf, monkeypatch):
     assert rounds_no_row(spark, sf, "win_suffix_median")
 
 
+def test_suffix_sme_keeps_no_sums_by_level(spark, sf, monkeypatch):
+    from silvaframe.plans import applied
+
+    y = np.random.default_rng(2).normal(size=40_001)
+    assert sum(a.nbytes for level in Prefixes(y, sums=True).levels for a in level[1:] if a is not None) <= 4 * (len(y) + 1) * 16
+    assert looked_up(monkeypatch, lambda: applied._of_column(y, ("right_sme",))) <= len(y)
+    assert rounds_no_row(spark, sf, "win_suffix_sme")
+
+
 def test_drawn_splits_search_every_input(spark, sf):
     from silvaframe.plans import applied
 
