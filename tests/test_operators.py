@@ -671,6 +671,14 @@ def test_suffix_sme_keeps_no_sums_by_level(spark, sf, monkeypatch):
     assert rounds_no_row(spark, sf, "win_suffix_sme")
 
 
+def test_suffix_ssme_looks_up_even_sizes_only(spark, sf, monkeypatch):
+    from silvaframe.plans import applied
+
+    y = np.random.default_rng(3).normal(size=40_001)
+    assert looked_up(monkeypatch, lambda: applied._of_column(y, ("right_ssme",))) <= len(y)
+    assert rounds_no_row(spark, sf, "win_suffix_ssme")
+
+
 def test_drawn_splits_search_every_input(spark, sf):
     from silvaframe.plans import applied
 
